@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import grouping
+from kinfold.llm import grouping, mixing, packing, tokens
 from kinfold.session import Scratch, read_table
 
 
@@ -28,5 +28,46 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.assign_splits(units, {r["partition_name"]: r["fraction"] for r in config}, scratch)
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_splits": p4_splits}
+def _sized(spark: SparkSession, sf_dir: str, scratch: Scratch, *keep: str) -> DataFrame:
+    """Every document with its size; ``item`` tells rows apart, also those with the same id."""
+    sized = tokens.measured(read_table(spark, sf_dir, "documents"), keep=keep)
+    return scratch.keep(sized.withColumn("item", F.monotonically_increasing_id()), "sized")
+
+
+def _capacities(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+    return {r["spec_name"]: r["capacity_tokens"] for r in read_table(spark, sf_dir, "container_specs").collect()}  # a few rows
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, or every piece of one above the capacity, with its container, per capacity."""
+    scratch = Scratch(spark, "containers")
+    return packing.fill_containers(_sized(spark, sf_dir, scratch), _capacities(spark, sf_dir), scratch)
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "containers")
+    capacities = _capacities(spark, sf_dir)
+    packed = scratch.keep(packing.fill_containers(_sized(spark, sf_dir, scratch), capacities, scratch), "all")
+    return packing.packing_report(packed, capacities, spark)
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    scratch = Scratch(spark, "mix")
+    plans = [tuple(r) for r in read_table(spark, sf_dir, "mix_targets").select("plan_name", "source", "target_share", "max_repeats").collect()]
+    return mixing.mix_sources(_sized(spark, sf_dir, scratch, "source"), plans, scratch, spark)
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which text each plan uses how often."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1]
+
+
+QUERIES = {
+    "p2_found": p2_found, "p4_found": p4_found, "p4_splits": p4_splits, "p6_containers": p6_containers, "p6_report": p6_report,
+    "p7_mix": p7_mix, "p7_shares": p7_shares,
+}
 ORACLE: dict[str, str] = {}
