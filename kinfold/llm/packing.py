@@ -94,7 +94,7 @@ PACKED = "spec_name string, item long, doc_id long, first_token long, n_tokens l
 def _pack_round(items: DataFrame, capacities: dict[str, int], lanes: dict[str, int], seed: int) -> DataFrame:
     """One packing of every (spec, bucket); buckets are as many as ``lanes`` says."""
 
-    def pack(key, group: pa.Table) -> pa.Table:
+    def pack(key, group):
         capacity = capacities[key[0].as_py()]
         group = group.sort_by([("n_tokens", "descending"), ("item", "ascending"), ("first_token", "ascending")])
         sizes = group.column("n_tokens").to_numpy()
