@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import grouping, mixing, packing, tokens
+from kinfold.llm import grouping, matching, mixing, packing, tokens
 from kinfold.session import Scratch, read_table
 
 
@@ -14,6 +14,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         read_table(spark, sf_dir, "comparison_features"), read_table(spark, sf_dir, "verified_labels"), Scratch(spark, "groups"))
 
 
+def p3_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of the same thing with a confidence each."""
+    return matching.match_sources(read_table(spark, sf_dir, "source_a"), read_table(spark, sf_dir, "source_b"), Scratch(spark, "match"), spark)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_matches(spark, sf_dir).select("left_record_key", "right_record_key").distinct()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = grouping.split_units(read_table(spark, sf_dir, "verified_labels"), Scratch(spark, "units"))
     return units.filter("size > 1").select("unit_digest", "pair_digest")
@@ -67,7 +76,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p4_found": p4_found, "p4_splits": p4_splits, "p6_containers": p6_containers, "p6_report": p6_report,
+    "p2_found": p2_found, "p3_found": p3_found, "p3_matches": p3_matches, "p4_found": p4_found, "p4_splits": p4_splits, "p6_containers": p6_containers, "p6_report": p6_report,
     "p7_mix": p7_mix, "p7_shares": p7_shares,
 }
 ORACLE: dict[str, str] = {}
