@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import grouping, matching, mixing, packing, tokens
+from kinfold.llm import grouping, matching, mixing, packing, pii, tokens
 from kinfold.session import Scratch, read_table
 
 
@@ -75,8 +75,23 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def _names(spark: SparkSession, sf_dir: str) -> tuple[frozenset, frozenset]:
+    # a fixed vocabulary of a few hundred words
+    return pii.name_lists(read_table(spark, sf_dir, "name_parts").select("name_part", "part_kind").collect())
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_spans(read_table(spark, sf_dir, "documents"), *_names(spark, sf_dir))
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with placeholders in place of personal information."""
+    return pii.redacted(read_table(spark, sf_dir, "documents"), *_names(spark, sf_dir))
+
+
 QUERIES = {
     "p2_found": p2_found, "p3_found": p3_found, "p3_matches": p3_matches, "p4_found": p4_found, "p4_splits": p4_splits, "p6_containers": p6_containers, "p6_report": p6_report,
     "p7_mix": p7_mix, "p7_shares": p7_shares,
+    "p8_found": p8_found, "p8_redacted": p8_redacted,
 }
 ORACLE: dict[str, str] = {}
