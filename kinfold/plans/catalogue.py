@@ -1,6 +1,6 @@
 """Modules that hold queries of the core."""
 
-from kinfold.plans import general
+from kinfold.plans import general, linkage
 
 FLAGSHIP = "p1_found"
-MODULES = [general]
+MODULES = [general, linkage]
