@@ -1,6 +1,6 @@
 """Modules that hold queries of the core."""
 
-from kinfold.plans import general, linkage
+from kinfold.plans import general, linkage, scoring
 
-FLAGSHIP = "p1_found"
-MODULES = [general, linkage]
+FLAGSHIP = "decisions"
+MODULES = [general, linkage, scoring]
