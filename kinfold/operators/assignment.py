@@ -44,15 +44,36 @@ def _best_per(costed: DataFrame, side: str, no_match_utility: float, capacity: i
     return live.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= capacity).select("source", "target", "probability", "cost")
 
 
+EDGE = "source string, target string, probability double, cost long"
+#: Edges a task takes at once: many small components share one call of the solver.
+EDGES_PER_TASK = 50_000
+
+
 def _by_component(costed: DataFrame, scratch: Scratch, solve) -> DataFrame:
-    """Solve each component of the candidate graph by itself: the objective is a sum over components."""
+    """Solve each component of the candidate graph by itself: the objective is a sum over components.
+
+    A component of one edge needs no solver and stays in the JVM.  The others are dealt to buckets
+    by hash, so that a task works through many small components in one batch.
+    """
     costed = scratch.keep(costed, "costed")
     ends = costed.select(F.concat(F.lit("s"), "source").alias("u"), F.concat(F.lit("t"), "target").alias("v"))
     roots = connected_components(ends, scratch, "assign")
-    coloured = costed.withColumn("node", F.concat(F.lit("s"), "source")).join(roots, "node")
-    if not coloured.groupBy("component").count().filter(F.col("count") > COMPONENT_EDGES).isEmpty():
+    coloured = scratch.keep(costed.withColumn("node", F.concat(F.lit("s"), "source")).join(roots, "node").select("component", "source", "target", "probability", "cost", "digest"), "coloured")
+    sizes = scratch.keep(coloured.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    if not sizes.filter(F.col("n") > COMPONENT_EDGES).isEmpty():
         raise ClusterTooLarge(f"a component has more than {COMPONENT_EDGES} edges")
-    return coloured.select("component", "source", "target", "probability", "cost", "digest").groupBy("component").applyInPandas(solve, "source string, target string, probability double, cost long")
+    alone = coloured.join(sizes.filter("n = 1"), "component", "left_semi").select("source", "target", "probability", "cost")
+    several = coloured.join(sizes.filter("n > 1"), "component", "left_semi")
+    buckets = max(1, math.ceil(coloured.count() / EDGES_PER_TASK), costed.sparkSession.sparkContext.defaultParallelism)
+
+    def solve_all(group: pd.DataFrame) -> pd.DataFrame:
+        rows: dict = {}
+        for r in group.itertuples(index=False):
+            rows.setdefault(r.component, []).append(r)
+        return pd.DataFrame([x for key in sorted(rows) for x in solve(rows[key])], columns=["source", "target", "probability", "cost"])
+
+    solved = several.withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets))).groupBy("bucket").applyInPandas(solve_all, EDGE)
+    return alone.unionByName(solved)
 
 
 def one_to_one(costed: DataFrame, scratch: Scratch, no_match_utility: float = 0.0, source_capacity: int = 1, target_capacity: int = 1, scale: int = 1_000_000) -> DataFrame:
@@ -63,9 +84,9 @@ def one_to_one(costed: DataFrame, scratch: Scratch, no_match_utility: float = 0.
     """
     free = -round(no_match_utility * scale) * TIE
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        sources = [s for s in sorted(set(group["source"])) for _ in range(min(source_capacity, len(group)))]
-        targets = [t for t in sorted(set(group["target"])) for _ in range(min(target_capacity, len(group)))]
+    def solve(group: list) -> list[tuple]:
+        sources = [s for s in sorted({r.source for r in group}) for _ in range(min(source_capacity, len(group)))]
+        targets = [t for t in sorted({r.target for r in group}) for _ in range(min(target_capacity, len(group)))]
         at_s: dict = {}
         for i, s in enumerate(sources):
             at_s.setdefault(s, []).append(i)
@@ -74,19 +95,17 @@ def one_to_one(costed: DataFrame, scratch: Scratch, no_match_utility: float = 0.
             at_t.setdefault(t, []).append(j)
         gain = np.zeros((len(sources), len(targets)))
         rows = {}
-        for r in group.itertuples(index=False):
+        for r in group:
             rows[r.source, r.target] = r
-            # one copy of a pair only: the k-th place of a source meets the same target once
             for i in at_s[r.source]:
                 for j in at_t[r.target]:
                     gain[i, j] = max(0.0, float(free - r.cost))
-        seen, out = set(), []
+        out = {}
         for i, j in hungarian(gain):
-            pair = (sources[i], targets[j])
-            if pair in rows and pair not in seen:
-                seen.add(pair)
-                out.append((rows[pair].source, rows[pair].target, rows[pair].probability, rows[pair].cost))
-        return pd.DataFrame(out, columns=["source", "target", "probability", "cost"])
+            r = rows.get((sources[i], targets[j]))
+            if r is not None:
+                out[r.source, r.target] = (r.source, r.target, r.probability, r.cost)
+        return list(out.values())
 
     return _by_component(costed.filter(F.col("cost") < free), scratch, solve)
 
@@ -113,16 +132,16 @@ def unconstrained(costed: DataFrame, scratch: Scratch | None = None, no_match_ut
             return live.select("source", "target", "probability", "cost")
         return _best_per(costed, "source", no_match_utility, source_capacity)
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
+    def solve(group: list) -> list[tuple]:
         left_s: dict = {}
         left_t: dict = {}
         out = []
-        for r in group.sort_values(["source", "cost", "digest"]).itertuples(index=False):
+        for r in sorted(group, key=lambda r: (r.source, r.cost, r.digest)):
             if left_s.get(r.source, 0) < (source_capacity or math.inf) and left_t.get(r.target, 0) < target_capacity:
                 left_s[r.source] = left_s.get(r.source, 0) + 1
                 left_t[r.target] = left_t.get(r.target, 0) + 1
                 out.append((r.source, r.target, r.probability, r.cost))
-        return pd.DataFrame(out, columns=["source", "target", "probability", "cost"])
+        return out
 
     return _by_component(live, scratch, solve)
 
