@@ -13,7 +13,7 @@ vertex can skew.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kinfold.operators.skew import hot_keys, join_unique
@@ -40,11 +40,22 @@ def build_vertices(keys: DataFrame, scratch: Scratch, tag: str = "vertices") ->
     raise RuntimeError("vertex ids collide under every seed")
 
 
+def _marks() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("v", "u")).alias("x")]
+
+
 def _fingerprint(state: DataFrame) -> tuple:
-    row = state.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("v", "u")).alias("x")).first()
+    row = state.agg(*_marks()).first()
     return row["n"], row["x"]
 
 
+def _keep_marked(state: DataFrame, scratch: Scratch, tag: str) -> tuple[DataFrame, tuple]:
+    """The state as written, and its fingerprint as observed while it was written."""
+    seen = Observation()
+    kept = scratch.keep(state.observe(seen, *_marks()), tag)
+    return kept, (seen.get["n"], seen.get["x"])
+
+
 def hash_to_min(edges: DataFrame, scratch: Scratch, tag: str = "state") -> DataFrame:
     """(id, root) for every vertex of ``edges(a, b)``: one root, the smallest id, per component.
 
@@ -53,18 +64,19 @@ def hash_to_min(edges: DataFrame, scratch: Scratch, tag: str = "state") -> DataF
     """
     edges = edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
     ends = F.array(*[F.struct(F.col(x).alias("v"), F.col(y).alias("u")) for x, y in ("aa", "ab", "ba", "bb")])
-    state = scratch.keep(edges.select(F.inline(ends)).distinct(), f"{tag}-0")
-    seen = _fingerprint(state)
+    state, seen = _keep_marked(edges.select(F.inline(ends)).distinct(), scratch, f"{tag}-0")
     for n in range(1, MAX_ROUNDS + 1):
         mins = state.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n"))
         hot = hot_keys(mins, "v", seen[0])
         sent = join_unique(state, mins.select("v", "m"), "v", hot)
         both = F.array(F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))
         # a third struct would only repeat (m, m): it arises from u = m
-        after = scratch.keep(sent.select(F.inline(both)).distinct(), f"{tag}-{n}")
+        after, marks = _keep_marked(sent.select(F.inline(both)).distinct(), scratch, f"{tag}-{n}")
+        # what is observed can count a retried task twice, so the end is confirmed from the tables
+        stable = marks == seen and _fingerprint(after) == _fingerprint(state)
         scratch.drop(f"{tag}-{n - 1}")
-        state, before, seen = after, seen, _fingerprint(after)
-        if seen == before:
+        state, seen = after, marks
+        if stable:
             return state.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("root"))
     raise RuntimeError(f"components not stable after {MAX_ROUNDS} rounds")
 
@@ -79,7 +91,3 @@ def groups_by_smallest(members: DataFrame, scratch: Scratch, tag: str) -> DataFr
     named = scratch.keep(members.groupBy("root").agg(F.min("key").alias("group_key"), F.count(F.lit(1)).alias("n")), f"{tag}-named")
     hot = hot_keys(named, "root", members.count())
     return join_unique(members, named, "root", hot).select("group_key", "key", F.col("n").alias("size"))
-
-
-def scratch_for(spark: SparkSession, purpose: str) -> Scratch:
-    return Scratch(spark, purpose)
