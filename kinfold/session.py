@@ -15,14 +15,11 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (tests, a laptop)
-    does the engine choose a folder of its own and record it in the session.
+    A cluster names it in ``spark.checkpoint.dir``, which is fixed when the session starts.  Only
+    where that is unset (tests, a laptop) does the engine use a folder of its own.
     """
     named = spark.conf.get(CHECKPOINT_SETTING, None)
-    if not named:
-        named = "file://" + os.path.join(tempfile.gettempdir(), f"kinfold-{os.getuid()}")
-        spark.conf.set(CHECKPOINT_SETTING, named)
-    return named.rstrip("/")
+    return (named or "file://" + os.path.join(tempfile.gettempdir(), f"kinfold-{os.getuid()}")).rstrip("/")
 
 
 class Scratch:
