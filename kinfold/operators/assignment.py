@@ -72,7 +72,7 @@ def _by_component(costed: DataFrame, scratch: Scratch, solve) -> DataFrame:
             rows.setdefault(r.component, []).append(r)
         return pd.DataFrame([x for key in sorted(rows) for x in solve(rows[key])], columns=["source", "target", "probability", "cost"])
 
-    solved = several.withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets))).groupBy("bucket").applyInPandas(solve_all, EDGE)
+    solved = several.withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets))).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(solve_all, EDGE)
     return alone.unionByName(solved)
 
 
