@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import normalise as N
@@ -15,10 +15,10 @@ DATES = ["yyyy-MM-dd", "dd/MM/yyyy", "yyyyMMdd"]
 
 
 def latest(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One row per record: that of its newest load."""
-    order = Window.partitionBy("record_key").orderBy(
-        F.desc("load_id"), F.desc_nulls_last("updated_at"), *[F.coalesce(c, F.lit("")) for c in ("label_value", "date_value", "group_value")])
-    return read_table(spark, sf_dir, name).withColumn("rn", F.row_number().over(order)).filter("rn = 1").drop("rn")
+    """One row per record: that of its newest load, as a combining aggregate."""
+    rows = read_table(spark, sf_dir, name)
+    age = F.struct(-F.col("load_id"), F.coalesce(-F.unix_micros("updated_at"), F.lit(2**63 - 1)), *[F.coalesce(c, F.lit("")) for c in ("label_value", "date_value", "group_value")])
+    return rows.groupBy("record_key").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "record_key"]), age).alias("x")).select("record_key", "x.*")
 
 
 def label_norm(x):
