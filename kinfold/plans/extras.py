@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.functions.normalise import pair_digest
+from kinfold.functions.normalise import normalise_value, pair_digest
 from kinfold.operators import advisor as V
 from kinfold.operators import models as L
 from kinfold.plans.config import compile_config
@@ -44,12 +44,16 @@ def crosswalk_sink(spark, sf_dir):
     return spark.read.option("header", True).csv(path).select("record_key", "dataset_id", "global_entity_id")
 
 
+#: The forms in which the sources write dates.
+DATE = [{"parse_date": ["yyyy-MM-dd", "dd/MM/yyyy", "yyyyMMdd", "dd-MMM-yyyy"]}]
+
+
 def _config(paths: dict, mode: str = "link_only", constraint: str = "one_to_one") -> dict:
     columns = {"label": "label_value", "day": "date_value", "code": "group_value"}
     return {
         "schema_version": "0.1", "mode": mode, "constraint": constraint,
         "datasets": [{"id": n, "path": p, "format": "parquet", "identity": "record_key", "columns": columns} for n, p in paths.items()],
-        "variables": {"label": {"type": "string", "transforms": ["nfkc", "casefold", "collapse_whitespace"]}, "day": {"type": "date", "transforms": [{"parse_date": ["yyyy-MM-dd"]}]}, "code": {"type": "categorical", "transforms": ["strip"]}},
+        "variables": {"label": {"type": "string", "transforms": ["nfkc", "casefold", "collapse_whitespace"]}, "day": {"type": "date", "transforms": DATE}, "code": {"type": "categorical", "transforms": ["strip"]}},
         "blocking": {"day": {"all": [{"kind": "exact", "variable": "day"}, {"kind": "prefix", "variable": "label", "length": 1}]},
                      "code": {"all": [{"kind": "exact", "variable": "code"}, {"any": [{"kind": "prefix", "variable": "label", "length": 3}, {"kind": "date_window", "variable": "day", "days": 3}]}]}},
         "comparisons": {"label": {"variable": "label", "function": "jaro_winkler", "levels": ["missing", "exact", {"threshold": 0.9}, {"threshold": 0.75}, "else"]},
@@ -61,13 +65,18 @@ def _config(paths: dict, mode: str = "link_only", constraint: str = "one_to_one"
     }
 
 
+def without_non_dates(rows: DataFrame) -> DataFrame:
+    """Strict preparation stops at a value that is no date in any accepted form; such values count as missing."""
+    day = normalise_value(F.col("date_value"), [(k, v) for t in DATE for k, v in t.items()])
+    return rows.withColumn("date_value", F.when(day.isNotNull(), F.col("date_value")))
+
+
 def _run(mode: str, constraint: str = "one_to_one"):
     def query(spark, sf_dir):
         scratch = Scratch(spark, "pipeline")
         paths = {}
         for name in ("source_a", "source_b") if mode != "dedupe_only" else ("source_a",):
-            # strict dates: what is none of the accepted form counts as missing before the run
-            rows = latest(spark, sf_dir, name).withColumn("date_value", F.when(F.try_to_date("date_value", "yyyy-MM-dd").isNotNull() & F.col("date_value").rlike(r"^\d{4}-\d\d-\d\d$"), F.col("date_value")))
+            rows = without_non_dates(latest(spark, sf_dir, name))
             scratch.keep(rows, name)
             paths[name] = f"{scratch.root}/{name}"
         return run_plan(spark, compile_config(_config(paths, mode, constraint))).result

@@ -4,9 +4,10 @@ import json
 
 import pytest
 
+from kinfold.functions.normalise import prepare
 from kinfold.operators.changefeed import FeedSpec
 from kinfold.plans.config import ConfigError, compile_config, parse_config
-from kinfold.plans.extras import _config
+from kinfold.plans.extras import _config, without_non_dates
 from kinfold.plans.pipeline import run_plan
 from kinfold.session import Scratch, shared_folder
 from kinfold.sources import readers as R
@@ -110,3 +111,12 @@ def test_core_stands_without_the_subpackage():
     root = Path(__file__).parents[1]
     code = "import sys; sys.modules['kinfold.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'p1_found' in q and 'p2_found' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_dates_of_every_form_reach_the_run(spark):
+    values = ["1982-06-20", "20/06/1982", "19820620", "20-Jun-1982", "30/02/1982", "soon", " ", None]
+    rows = without_non_dates(spark.createDataFrame([(str(i), v) for i, v in enumerate(values)], "record_key string, date_value string"))
+    assert [r["date_value"] for r in rows.orderBy("record_key").collect()] == [*values[:4], None, None, None, None]
+    day = compile_config(_config({"a": "/x", "b": "/y"})).variables["day"]
+    out = prepare(rows, "a", "record_key", {"day": ("date_value", day)}, strict=True)
+    assert out.filter("v_day = date'1982-06-20'").count() == 4 and out.filter("m_day").count() == 4
