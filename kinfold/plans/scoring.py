@@ -267,10 +267,12 @@ def cluster_metrics(spark, sf_dir):
 
 
 def split_records(spark, sf_dir):
-    v = read_table(spark, sf_dir, "verified_labels").filter("label = 1")
-    e, h = F.array_min("entity_components"), F.array_min("household_components")
-    rows = v.select(F.explode(F.array("left_record_key", "right_record_key")).alias("record_key"), e.alias("entity"), h.alias("household"))
-    return rows.groupBy("record_key").agg(F.min("entity").alias("entity"), F.min("household").alias("household"))
+    """(record_key, entity, household): every component that any row with label 1 names, one a row and the other null."""
+    v = read_table(spark, sf_dir, "verified_labels").filter("label = 1").select(F.explode(F.array("left_record_key", "right_record_key")).alias("record_key"), "entity_components", "household_components")
+    none = F.lit(None).cast("string")
+    e = v.select("record_key", F.explode_outer("entity_components").alias("entity"), none.alias("household"))
+    h = v.select("record_key", none.alias("entity"), F.explode("household_components").alias("household"))
+    return e.unionByName(h).distinct()
 
 
 def split(spark, sf_dir):
@@ -279,7 +281,9 @@ def split(spark, sf_dir):
 
 
 def split_disjoint(spark, sf_dir):
-    return M.disjointness(split(spark, sf_dir).join(split_records(spark, sf_dir), "record_key"), "entity", "partition")
+    named = split(spark, sf_dir).join(split_records(spark, sf_dir), "record_key")
+    units = named.select("partition", F.col("entity")).unionByName(named.select("partition", F.concat(F.lit("household "), "household").alias("entity")))
+    return M.disjointness(units.filter("entity is not null"), "entity", "partition")
 
 
 def calib_apply(spark, sf_dir):

@@ -10,7 +10,9 @@ from kinfold.operators import clustering as C
 from kinfold.operators import decisions as D
 from kinfold.operators import metrics as M
 from kinfold.operators.components import connected_components
-from kinfold.operators.splitting import entity_household_split
+from kinfold.operators import splitting
+from kinfold.operators.splitting import advance, entity_household_split
+from kinfold.plans import scoring
 from kinfold.session import Scratch
 
 EDGE = "source string, target string, probability double"
@@ -129,3 +131,27 @@ def test_split_keeps_households(spark):
     assert out == run() and len(out) == 60
     for _, _, h in rows:
         assert len({out[r] for r, _, g in rows if g == h}) == 1
+
+
+def test_split_follows_every_component(spark, tmp_path, monkeypatch):
+    rows = [(f"a{i}", f"b{i}", 1, [f"e{i}"], [f"g{i}", f"h{i // 2}"] if i % 2 else [f"h{i // 2}", f"i{i}"]) for i in range(40)] + [("a0", "b39", 1, ["e90"], None), ("x", "y", 1, [], [])]
+    spark.createDataFrame(rows, "left_record_key string, right_record_key string, label int, entity_components array<string>, household_components array<string>").write.parquet(str(tmp_path / "verified_labels.parquet"))
+    spark.createDataFrame([("m", p, f) for p, f in (("train", .5), ("dev", .25), ("test", .25))], "method string, partition_name string, fraction double").write.parquet(str(tmp_path / "split_config.parquet"))
+    whole = {r["record_key"]: r["partition"] for r in scoring.split(spark, str(tmp_path)).collect()}
+    assert len(whole) == 82 and whole["a0"] == whole["b39"] and len(set(whole.values())) == 3
+    assert all(len({whole[f"{s}{i + j}"] for s in "ab" for j in (0, 1)}) == 1 for i in range(0, 40, 2))
+    assert scoring.split_disjoint(spark, str(tmp_path)).collect() == []
+    monkeypatch.setattr(splitting, "UNITS_PER_TASK", 3)  # the same however many tasks place the units
+    assert {r["record_key"]: r["partition"] for r in scoring.split(spark, str(tmp_path)).collect()} == whole
+    monkeypatch.setattr(scoring, "split", lambda s, d: s.createDataFrame([(k, "pq"[k in ("a1", "b1")]) for k in whole], "record_key string, partition string"))
+    assert {r["entity"] for r in scoring.split_disjoint(spark, str(tmp_path)).collect()} == {"household h0"}
+
+
+def test_units_of_equal_size_need_no_single_steps():
+    shares = {"a": 550.0, "b": 150.0, "c": 100.0, "d": 200.0}
+    for start in ({"a": 0, "b": 0, "c": 0, "d": 0}, {"a": 90, "b": 2, "c": 400, "d": 7}):
+        for n in (1, 3):
+            slow = dict(start)
+            for count in range(1, 300):
+                splitting._place(slow, shares, n)
+                assert advance(start, shares, n, count) == slow
