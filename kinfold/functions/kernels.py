@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 
@@ -40,6 +42,61 @@ def hungarian(gain: np.ndarray) -> list[tuple[int, int]]:
     return [(int(match[j]) - 1, j - 1) for j in range(1, m + 1) if 0 < match[j] <= n and gain[match[j] - 1, j - 1] > 0]
 
 
+def sparse_assignment(edges: list[tuple]) -> list[tuple]:
+    """Pairs (row, column) of greatest total gain from ``edges(row, column, gain)``; memory grows with the edges.
+
+    Rows enter one by one, each along the shortest augmenting path under the duals so far; a path
+    may end by leaving a row alone at gain 0.
+    """
+    near: dict = {}
+    for i, j, gain in edges:
+        if gain > 0:
+            near.setdefault(i, []).append((j, -gain))
+    u: dict = {}
+    v: dict = {}
+    owner: dict = {}
+    chosen: dict = {}
+    for start in sorted(near):
+        u[start] = min(0, min(c - v.get(j, 0) for j, c in near[start]))
+        reach, before, done, scanned = {}, {}, {}, {start: 0}
+        heap: list = []
+        i, base, ends = start, 0, None
+        while ends is None:
+            heapq.heappush(heap, (base - u[i], 1, i))  # left alone
+            for j, c in near[i]:
+                d = base + c - u[i] - v.get(j, 0)
+                if j not in done and (j not in reach or d < reach[j]):
+                    reach[j], before[j] = d, i
+                    heapq.heappush(heap, (d, 0, j))
+            while True:
+                base, alone, x = heapq.heappop(heap)
+                if alone or x not in done:
+                    break
+            if alone or x not in owner:
+                ends = (alone, x)
+            else:
+                done[x] = base
+                i = owner[x]
+                scanned[i] = base
+        for r, d in scanned.items():
+            u[r] += base - d
+        for c, d in done.items():
+            v[c] = v.get(c, 0) - (base - d)
+        alone, x = ends
+        if alone:
+            row, x = x, chosen.pop(x, None)
+            if row == start:
+                continue
+        while True:
+            row = before[x]
+            freed = chosen.get(row)
+            owner[x], chosen[row] = row, x
+            if row == start:
+                break
+            x = freed
+    return sorted(chosen.items())
+
+
 class UnionFind:
     """Disjoint sets; the smallest member leads its set."""
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.functions.kernels import hungarian
+from kinfold.functions.kernels import hungarian, sparse_assignment
 from kinfold.llm.components import hash_to_min
 from kinfold.session import Scratch
 
@@ -310,8 +310,8 @@ def _border_pairs(rows: pd.DataFrame, window: int, common: frozenset) -> pd.Data
 def assign_one_to_one(edges: DataFrame, scratch: Scratch, exact_edges: int = EXACT_EDGES) -> DataFrame:
     """Rows of ``edges(ea, eb, conf)`` in which no end occurs twice, of greatest total confidence.
 
-    Components of up to ``exact_edges`` edges are solved exactly, each in one task.  Larger ones
-    are not gathered: there, edges that are the best of both their ends are taken, round by round.
+    Every component is solved exactly in one task: those of up to ``exact_edges`` edges over a
+    matrix, larger ones over their edges alone, in memory that grows with the edges.
     """
     edges = scratch.keep(edges, "edges")
     roots = hash_to_min(edges.select(F.col("ea").alias("a"), F.col("eb").alias("b")), scratch, "edge-roots")
@@ -344,17 +344,12 @@ def assign_one_to_one(edges: DataFrame, scratch: Scratch, exact_edges: int = EXA
     out = alone.unionByName(exact)
     if large.isEmpty():
         return out
-    rest = scratch.keep(coloured.join(large, "root", "left_semi").select("ea", "eb", "conf"), "rest-0")
-    n = 0
-    while not rest.isEmpty():
-        n += 1
-        rank = F.struct("conf", "ea", "eb")
-        best_a = rest.groupBy("ea").agg(F.max(rank).alias("best")).select("best.*")
-        best_b = rest.groupBy("eb").agg(F.max(rank).alias("best")).select("best.*")
-        taken = scratch.keep(best_a.join(best_b, ["ea", "eb", "conf"]).select("ea", "eb", "conf"), f"taken-{n}")
-        out = out.unionByName(taken)
-        rest = scratch.keep(rest.join(taken.select("ea"), "ea", "left_anti").join(taken.select("eb"), "eb", "left_anti"), f"rest-{n}")
-    return out
+
+    def solve_large(group: pd.DataFrame) -> pd.DataFrame:
+        gain = {(r.ea, r.eb): r.conf for r in group.itertuples(index=False)}
+        return pd.DataFrame([(i, j, gain[i, j]) for i, j in sparse_assignment([(*k, x) for k, x in gain.items()])], columns=["ea", "eb", "conf"])
+
+    return out.unionByName(coloured.join(large, "root", "left_semi").groupBy("root").applyInPandas(solve_large, "ea long, eb long, conf double"))
 
 
 def match_sources(a: DataFrame, b: DataFrame, scratch: Scratch, spark: SparkSession) -> DataFrame:

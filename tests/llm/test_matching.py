@@ -71,3 +71,10 @@ def test_large_components_are_matched_without_gathering(spark):
     for out in (exact, greedy):
         assert len({x["ea"] for x in out}) == len(out) == len({x["eb"] for x in out})
     assert sum(x["conf"] for x in exact) >= sum(x["conf"] for x in greedy) >= 0.5 * sum(x["conf"] for x in exact)
+
+
+def test_large_components_have_greatest_total(spark):
+    # the best edge blocks two that together weigh more
+    edges = spark.createDataFrame([(1, 1, .90), (1, 2, .89), (2, 1, .89), (3, 2, .5)], "ea long, eb long, conf double")
+    got = M.assign_one_to_one(edges, Scratch(spark, "t"), exact_edges=2).collect()
+    assert {(r["ea"], r["eb"]) for r in got} == {(1, 2), (2, 1)}
