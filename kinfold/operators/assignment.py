@@ -10,13 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.functions.kernels import hungarian
+from kinfold.functions.kernels import hungarian, sparse_assignment
 from kinfold.functions.normalise import pair_digest
-from kinfold.operators.clustering import ClusterTooLarge, utility
+from kinfold.operators.clustering import utility
 from kinfold.operators.components import connected_components
 from kinfold.session import Scratch
 
 TIE = 1_000_003
+#: Edges of a component up to which its matrix is made; a larger one is solved over its edges alone.
 COMPONENT_EDGES = 20_000
 
 
@@ -60,8 +61,6 @@ def _by_component(costed: DataFrame, scratch: Scratch, solve) -> DataFrame:
     roots = connected_components(ends, scratch, "assign")
     coloured = scratch.keep(costed.withColumn("node", F.concat(F.lit("s"), "source")).join(roots, "node").select("component", "source", "target", "probability", "cost", "digest"), "coloured")
     sizes = scratch.keep(coloured.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    if not sizes.filter(F.col("n") > COMPONENT_EDGES).isEmpty():
-        raise ClusterTooLarge(f"a component has more than {COMPONENT_EDGES} edges")
     alone = coloured.join(sizes.filter("n = 1"), "component", "left_semi").select("source", "target", "probability", "cost")
     several = coloured.join(sizes.filter("n > 1"), "component", "left_semi")
     buckets = max(1, math.ceil(coloured.count() / EDGES_PER_TASK), costed.sparkSession.sparkContext.defaultParallelism)
@@ -79,8 +78,7 @@ def _by_component(costed: DataFrame, scratch: Scratch, solve) -> DataFrame:
 def one_to_one(costed: DataFrame, scratch: Scratch, no_match_utility: float = 0.0, source_capacity: int = 1, target_capacity: int = 1, scale: int = 1_000_000) -> DataFrame:
     """(source, target, probability, cost) of greatest total utility; ends stay free where no match is better.
 
-    Capacities above 1 enter an end several times.  Components above COMPONENT_EDGES edges stop the
-    job; ``kinfold.llm`` has a matcher for larger ones.
+    Capacities above 1 enter an end several times.  Every component is solved exactly, in one task.
     """
     free = -round(no_match_utility * scale) * TIE
 
@@ -93,8 +91,13 @@ def one_to_one(costed: DataFrame, scratch: Scratch, no_match_utility: float = 0.
         at_t: dict = {}
         for j, t in enumerate(targets):
             at_t.setdefault(t, []).append(j)
-        gain = np.zeros((len(sources), len(targets)))
         rows = {}
+        if len(group) > COMPONENT_EDGES:
+            rows = {(r.source, r.target): r for r in group}
+            gains = [(i, j, max(0, free - int(r.cost))) for r in group for i in at_s[r.source] for j in at_t[r.target]]
+            chosen = {(sources[i], targets[j]) for i, j in sparse_assignment(gains)}
+            return [(r.source, r.target, r.probability, r.cost) for r in map(rows.get, sorted(chosen))]
+        gain = np.zeros((len(sources), len(targets)))
         for r in group:
             rows[r.source, r.target] = r
             for i in at_s[r.source]:

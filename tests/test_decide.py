@@ -1,8 +1,10 @@
 """Assignments, clusters, decisions, reviews and metrics on worked examples."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinfold.functions.kernels import hungarian, sparse_assignment
 from kinfold.operators import adjudication as J
 from kinfold.operators import assignment as A
 from kinfold.operators import calibration as K
@@ -155,3 +157,21 @@ def test_units_of_equal_size_need_no_single_steps():
             for count in range(1, 300):
                 splitting._place(slow, shares, n)
                 assert advance(start, shares, n, count) == slow
+
+
+def test_sparse_assignment_is_exact():
+    rng = np.random.default_rng(5)
+    for n, m, share in ((1, 1, 1), (7, 5, .5), (12, 12, .3), (15, 30, .2), (30, 12, .6)):
+        for _ in range(20):
+            gain = np.where(rng.random((n, m)) < share, rng.integers(1, 60, (n, m)), 0)
+            got = sparse_assignment([(i, j, int(gain[i, j])) for i in range(n) for j in range(m)])
+            assert len({i for i, _ in got}) == len({j for _, j in got}) == len(got)
+            assert sum(gain[x] for x in got) == sum(gain[x] for x in hungarian(gain.astype(float)))
+
+
+def test_large_components_are_solved(spark, monkeypatch):
+    edges = [("s1", "t1", .95), ("s1", "t2", .80), ("s2", "t1", .94), ("s2", "t2", .10), ("s3", "t2", .60)]
+    e = A.edge_costs(spark.createDataFrame(edges, EDGE))
+    whole = pairs(A.one_to_one(e, Scratch(spark, "t")))
+    monkeypatch.setattr(A, "COMPONENT_EDGES", 2)
+    assert pairs(A.one_to_one(e, Scratch(spark, "t"))) == whole == {("s1", "t2"), ("s2", "t1")}
\ No newline at end of file
