@@ -210,11 +210,17 @@ def labelled(spark, sf_dir):
     return v.join(newest_pairs(spark, sf_dir), ["l", "r"]).select("l", "r", "label", F.col("p").alias("score"), pair_digest(F.col("l"), F.col("r")).alias("pair_digest"))
 
 
+def from_a_to_b(pairs: DataFrame) -> DataFrame:
+    """Pairs of source-a and source-b in whichever order they stand, turned to source-a on the left."""
+    l, r = F.least("left_record_key", "right_record_key"), F.greatest("left_record_key", "right_record_key")  # noqa: E741
+    return pairs.withColumns({"left_record_key": l, "right_record_key": r}).filter(F.col("left_record_key").startswith("source-a") & F.col("right_record_key").startswith("source-b"))
+
+
 def retrieval(spark, sf_dir):
-    f = read_table(spark, sf_dir, "comparison_features").filter(F.col("left_record_key").startswith("source-a") & F.col("right_record_key").startswith("source-b"))
-    truth = read_table(spark, sf_dir, "verified_labels").filter("label = 1").filter(F.col("left_record_key").startswith("source-a") & F.col("right_record_key").startswith("source-b"))
+    f = from_a_to_b(read_table(spark, sf_dir, "comparison_features"))
+    truth = from_a_to_b(read_table(spark, sf_dir, "verified_labels").filter("label = 1"))
     a = latest(spark, sf_dir, "source_a").select(F.col("record_key").alias("left_record_key"))
-    m = M.retrieval(a, f, truth, 1000)
+    m = M.retrieval(a, f, truth, latest(spark, sf_dir, "source_b").count())
     return m.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes])
 
 
@@ -315,7 +321,7 @@ def rank_groups(spark, sf_dir):
 
 
 def model_disagreement(spark, sf_dir):
-    f = FS.score(read_table(spark, sf_dir, "comparison_features"), WEIGHTS, PRIOR).filter(F.col("left_record_key").startswith("source-a") & F.col("right_record_key").startswith("source-b"))
+    f = from_a_to_b(FS.score(read_table(spark, sf_dir, "comparison_features"), WEIGHTS, PRIOR))
     two = f.groupBy(F.col("left_record_key").alias("source"), F.col("right_record_key").alias("target")).agg(F.round(F.max("match_weight"), 6).alias("score"))
     return R.model_disagreement(scored_edges(spark, sf_dir), two.withColumn("pair_digest", pair_digest(F.col("source"), F.col("target"))))
 

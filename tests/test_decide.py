@@ -174,4 +174,14 @@ def test_large_components_are_solved(spark, monkeypatch):
     e = A.edge_costs(spark.createDataFrame(edges, EDGE))
     whole = pairs(A.one_to_one(e, Scratch(spark, "t")))
     monkeypatch.setattr(A, "COMPONENT_EDGES", 2)
-    assert pairs(A.one_to_one(e, Scratch(spark, "t"))) == whole == {("s1", "t2"), ("s2", "t1")}
\ No newline at end of file
+    assert pairs(A.one_to_one(e, Scratch(spark, "t"))) == whole == {("s1", "t2"), ("s2", "t1")}
+
+
+def test_retrieval_takes_pairs_in_either_order(spark, monkeypatch):
+    key = "left_record_key string, right_record_key string"
+    tables = {"comparison_features": spark.createDataFrame([("source-a-1", "source-b-1"), ("source-b-2", "source-a-2"), ("source-b-1", "source-a-1"), ("source-a-1", "source-a-2")], key),
+              "verified_labels": spark.createDataFrame([("source-b-2", "source-a-2", 1), ("source-a-1", "source-b-4", 1)], key + ", label int")}
+    monkeypatch.setattr(scoring, "read_table", lambda s, d, name: tables[name])
+    monkeypatch.setattr(scoring, "latest", lambda s, d, name: s.createDataFrame([(f"{name.replace('_', '-')}-{i}",) for i in range(1, 5 if name == "source_b" else 3)], "record_key string"))
+    r = scoring.retrieval(spark, "").first()
+    assert (r["candidate_pairs"], r["true_pairs"], r["true_found"], r["zero_candidate_sources"], r["reduction"]) == (2, 2, 1, 0, 0.75)
