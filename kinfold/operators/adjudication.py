@@ -16,23 +16,25 @@ def active_events(events: DataFrame) -> DataFrame:
     return events.join(gone, "event_id", "left_anti")
 
 
-def supersession_cycles(events: DataFrame, scratch: Scratch, rounds: int = 64) -> DataFrame:
+def supersession_cycles(events: DataFrame, scratch: Scratch) -> DataFrame:
     """(event_id) of events on, or leading into, a cycle of supersessions.
 
-    Events whose chain has an end are peeled off until nothing changes; each round looks at the
-    links left only.
+    Links are joined with themselves, so that each round doubles the steps they span; events whose
+    chain ends sooner drop out, until nothing changes.
     """
     known = events.select("event_id").distinct()
     links = events.filter("superseded_event_id is not null").select("event_id", F.col("superseded_event_id").alias("to")).distinct()
-    links = scratch.keep(links.join(known.withColumnRenamed("event_id", "to"), "to", "left_semi"), "links-0")
-    n = links.count()
-    for i in range(1, rounds):
-        left = scratch.keep(links.join(links.select(F.col("event_id").alias("to")).distinct(), "to", "left_semi"), f"links-{i}")
-        m = left.count()
+    links = scratch.keep(links.join(known.withColumnRenamed("event_id", "to"), "to", "left_semi").select("event_id", "to"), "links-0")
+    n, i = links.select("event_id").distinct().count(), 0
+    while True:
+        i += 1
+        after = links.withColumnRenamed("to", "by").join(links.withColumnRenamed("event_id", "by"), "by").select("event_id", "to").distinct()
+        left = scratch.keep(after, f"links-{i}")
+        scratch.drop(f"links-{i - 1}")
+        m = left.select("event_id").distinct().count()
         if m == n or m == 0:
             return left.select("event_id").distinct()
         links, n = left, m
-    return links.select("event_id").distinct()
 
 
 @dataclass(frozen=True)

@@ -177,6 +177,11 @@ def test_large_components_are_solved(spark, monkeypatch):
     assert pairs(A.one_to_one(e, Scratch(spark, "t"))) == whole == {("s1", "t2"), ("s2", "t1")}
 
 
+def test_long_chains_are_no_cycles(spark):
+    votes = [("match", .9, None)] + [("match", .9, f"e{i}") for i in range(70)] + [("match", .9, "e72"), ("match", .9, "e71"), ("match", .9, "e71")]
+    assert {r["event_id"] for r in J.supersession_cycles(reviews(spark, votes), Scratch(spark, "t")).collect()} == {"e71", "e72", "e73"}
+
+
 def test_retrieval_takes_pairs_in_either_order(spark, monkeypatch):
     key = "left_record_key string, right_record_key string"
     tables = {"comparison_features": spark.createDataFrame([("source-a-1", "source-b-1"), ("source-b-2", "source-a-2"), ("source-b-1", "source-a-1"), ("source-a-1", "source-a-2")], key),
