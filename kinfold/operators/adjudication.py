@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.functions.normalise import pair_digest
 from kinfold.session import Scratch
 
 
@@ -37,49 +38,68 @@ def supersession_cycles(events: DataFrame, scratch: Scratch) -> DataFrame:
         links, n = left, m
 
 
+POLICIES = ("majority_vote", "senior_reviewer_override", "unanimous_only", "strict_double_review")
+
+
 @dataclass(frozen=True)
 class ConsensusPolicy:
     """How reviews of a pair become one decision."""
 
-    method: str = "majority_vote"  # or senior_reviewer_override, unanimous_only, strict_double_review
+    method: str = "majority_vote"
     minimum_reviewers: int = 1
     seniors: tuple = ()
 
+    def __post_init__(self):
+        if self.method not in POLICIES:
+            raise ValueError(f"unknown consensus policy {self.method}")
 
-def consensus(events: DataFrame, policy: ConsensusPolicy = ConsensusPolicy()) -> DataFrame:
-    """(left_record_key, right_record_key, outcome, confidence, method, reviewers, agreement, has_conflict).
 
-    A reviewer's later event on a pair replaces the earlier.  In order: too few reviewers, all
-    agree, a senior decides, more than half agree, else unresolved.  Everything is a combining
-    aggregate per pair.
+def consensus(events: DataFrame, policy: ConsensusPolicy = ConsensusPolicy()) -> DataFrame:
+    """One row per pair: left_record_key, right_record_key, outcome, confidence, method, dispute_reason, reviewers, agreement, has_conflict, protocol_version.
+
+    Every active event with a decision is a review and counts, also several by one reviewer;
+    ``reviewers`` is their number; a review without confidence has confidence 0.  In order: too few reviews, all agree, seniors decide (not under ``unanimous_only``;
+    seniors at odds leave the pair unresolved), more than half agree (``majority_vote`` only), else
+    unresolved.  An unresolved pair has no outcome, a confidence of 0 and a dispute reason.
+    ``protocol_version`` is "mixed" where reviews differ in it.  Everything is a combining aggregate
+    per pair, so a pair with very many reviews is no gathered group.
     """
     key = ["left_record_key", "right_record_key"]
-    rows = events.select(F.least("left_record_key", "right_record_key").alias(key[0]), F.greatest("left_record_key", "right_record_key").alias(key[1]), "reviewer_id", "decision", "confidence", "adjudicated_at", "event_id")
-    latest = rows.groupBy(*key, "reviewer_id").agg(F.max(F.struct("adjudicated_at", "event_id", "decision", "confidence")).alias("x")).select(*key, "reviewer_id", "x.decision", "x.confidence")
-    senior = F.col("reviewer_id").isin(list(policy.seniors)) if policy.seniors else F.lit(False)
-    votes = latest.groupBy(*key, "decision").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("c"), F.sum(senior.cast("int")).alias("s"))
+    version = F.col("protocol_version") if "protocol_version" in events.columns else F.lit("")
+    senior = F.coalesce(F.col("reviewer_id").isin(list(policy.seniors)), F.lit(False)) if policy.seniors else F.lit(False)
+    rows = events.filter("decision is not null").select(F.least(*key).alias(key[0]), F.greatest(*key).alias(key[1]), "decision", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), senior.alias("senior"), version.alias("version"))
+    votes = rows.groupBy(*key, "decision").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("c"), F.count(F.when(F.col("senior"), 1)).alias("s"), F.avg(F.when(F.col("senior"), F.col("confidence"))).alias("sc"),
+        F.min("version").alias("v0"), F.max("version").alias("v1"))
     pair = votes.groupBy(*key).agg(
-        F.sum("n").alias("reviewers"), F.count(F.lit(1)).alias("options"), F.max(F.struct("n", "c", "decision")).alias("top"), F.max("n").alias("best"),
-        F.sum(F.when(F.col("s") > 0, 1).otherwise(0)).alias("senior_options"), F.max(F.when(F.col("s") > 0, F.struct("n", "c", "decision"))).alias("senior"))
+        F.sum("n").alias("reviewers"), F.count(F.lit(1)).alias("options"), F.max(F.struct("n", "c", "decision")).alias("top"),
+        F.count(F.when(F.col("s") > 0, 1)).alias("senior_options"), F.max(F.when(F.col("s") > 0, F.struct("s", "sc", "decision"))).alias("senior"),
+        F.min("v0").alias("v0"), F.max("v1").alias("v1"))
     needed = max(policy.minimum_reviewers, 2 if policy.method == "strict_double_review" else 1)
-    method = (F.when(F.col("reviewers") < needed, "insufficient_reviewers")
-              .when((F.col("options") == 1) & (F.col("reviewers") == 1), "single_reviewer").when(F.col("options") == 1, "unanimous"))
-    if policy.method == "senior_reviewer_override":
-        method = method.when(F.col("senior_options") == 1, "senior_override")
-    if policy.method in ("majority_vote", "senior_reviewer_override"):
-        method = method.when(F.col("best") * 2 > F.col("reviewers"), "majority").otherwise("tied_vote")
+    split = F.col("options") > 1
+    method = (F.when(F.col("reviewers") < needed, "unresolved").when(~split & (F.col("reviewers") == 1), "single_reviewer").when(~split, "unanimous"))
+    dispute = F.when(F.col("reviewers") < needed, F.when(split, "insufficient_reviewers_with_conflict").otherwise("insufficient_reviewers")).when(~split, F.lit(None))
+    if policy.method != "unanimous_only":
+        method = method.when(F.col("senior_options") == 1, "senior_override").when(F.col("senior_options") > 1, "unresolved")
+        dispute = dispute.when(F.col("senior_options") == 1, F.lit(None)).when(F.col("senior_options") > 1, "conflicting_senior_reviewers")
+    if policy.method == "majority_vote":
+        most = F.col("top.n") * 2 > F.col("reviewers")
+        method = method.when(most, "majority")
+        dispute = dispute.when(most, F.lit(None)).otherwise("tied_vote")
     else:
-        method = method.otherwise("disagreement")
-    out = pair.withColumn("method", method)
-    solved = F.col("method").isin("single_reviewer", "unanimous", "majority")
-    return out.select(*key, F.when(solved, F.col("top.decision")).when(F.col("method") == "senior_override", F.col("senior.decision")).otherwise("unresolved").alias("outcome"),
-                      F.when(solved, F.col("top.c")).when(F.col("method") == "senior_override", F.col("senior.c")).otherwise(0.0).alias("confidence"),
-                      "method", "reviewers", (F.col("best") / F.col("reviewers")).alias("agreement"), (F.col("options") > 1).alias("has_conflict"))
+        dispute = dispute.otherwise("unanimous_policy_conflict" if policy.method == "unanimous_only" else "double_review_conflict")
+    out = pair.withColumn("method", method.otherwise("unresolved")).withColumn("dispute_reason", dispute)
+    by_votes, by_senior = F.col("method").isin("single_reviewer", "unanimous", "majority"), F.col("method") == "senior_override"
+    return out.select(
+        *key, F.when(by_votes, F.col("top.decision")).when(by_senior, F.col("senior.decision")).alias("outcome"),
+        F.when(by_votes, F.col("top.c")).when(by_senior, F.col("senior.sc")).otherwise(0.0).alias("confidence"), "method", "dispute_reason", "reviewers",
+        (F.col("top.n") / F.col("reviewers")).alias("agreement"), split.alias("has_conflict"), F.when(F.col("v0") != F.col("v1"), "mixed").otherwise(F.col("v0")).alias("protocol_version"))
 
 
 def require_agreement(resolved: DataFrame, threshold: float) -> DataFrame:
     """Outcomes with less agreement than the threshold become unresolved."""
-    return resolved.withColumn("outcome", F.when(F.col("agreement") < threshold, "unresolved").otherwise(F.col("outcome")))
+    weak = F.col("agreement") < threshold
+    return resolved.withColumns({"outcome": F.when(~weak, F.col("outcome")), "confidence": F.when(weak, 0.0).otherwise(F.col("confidence")), "method": F.when(weak, "unresolved").otherwise(F.col("method"))})
 
 
 def disagreement_report(resolved: DataFrame) -> DataFrame:
@@ -87,18 +107,72 @@ def disagreement_report(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("method").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("has_conflict").cast("int")).alias("conflicts"), F.avg("agreement").alias("mean_agreement"))
 
 
-def promotion(resolved: DataFrame, locked: DataFrame, minimum_confidence: float = 0.7, minimum_reviewers: int = 1) -> DataFrame:
-    """Resolved pairs with ``reasons`` against promotion (empty if eligible) and ``eligible``.
+@dataclass(frozen=True)
+class PromotionPolicy:
+    """What a reviewed pair needs to become a verified label of ``target_partition``."""
+
+    target_partition: str = "training"
+    minimum_confidence: float = 0.80
+    minimum_reviewers: int = 1
+    double_review: bool = False
+    protocols: tuple = ()
+
+    def __post_init__(self):
+        if self.target_partition not in ("training", "validation", "calibration", "decision", "test"):
+            raise ValueError(f"unknown partition {self.target_partition}")
+        if not 0 <= self.minimum_confidence <= 1 or self.minimum_reviewers < 1:
+            raise ValueError("confidence must be within 0..1, reviewers at least 1")
+
 
-    ``locked(left_record_key, right_record_key)`` are pairs of the locked test partition.
+def promotion(resolved: DataFrame, locked: DataFrame, policy: PromotionPolicy = PromotionPolicy()) -> DataFrame:
+    """Pairs with ``reasons`` against promotion (comma-separated, empty if eligible), ``eligible`` and ``label``.
+
+    ``locked(left_record_key, right_record_key)`` are pairs of the locked test partition, in
+    either order.  A pair without outcome has both of the first two reasons.
     """
-    mark = locked.select("left_record_key", "right_record_key", F.lit(True).alias("locked")).distinct()
-    rows = resolved.join(mark, ["left_record_key", "right_record_key"], "left")
-    reasons = F.array_compact(F.array(
-        F.when(F.col("outcome") == "unresolved", F.lit("unresolved")), F.when(~F.col("outcome").isin("match", "nonmatch", "unresolved"), F.lit("not_binary")),
-        F.when(F.col("confidence") < minimum_confidence, F.lit("low_confidence")), F.when(F.col("reviewers") < minimum_reviewers, F.lit("too_few_reviewers")),
-        F.when(F.coalesce("locked", F.lit(False)), F.lit("locked_test"))))
-    return rows.withColumn("reasons", F.array_join(reasons, ",")).withColumn("eligible", F.size(reasons) == 0).drop("locked")
+    key = ["left_record_key", "right_record_key"]
+    mark = locked.select(F.least(*key).alias(key[0]), F.greatest(*key).alias(key[1]), F.lit(True).alias("locked")).distinct()
+    rows = resolved.join(mark, key, "left")
+    outcome, because = F.col("outcome"), lambda when, code: F.when(when, F.lit(code))
+    binary = F.coalesce(outcome.isin("match", "nonmatch"), F.lit(False))
+    found = [
+        because(outcome.isNull(), "unresolved_dispute"), because(~binary, "non_binary_outcome_audit_only"),
+        because(F.col("confidence") < policy.minimum_confidence, "insufficient_confidence"), because(F.col("reviewers") < policy.minimum_reviewers, "insufficient_reviewers")]
+    if policy.double_review:
+        found.append(because(F.col("reviewers") < 2, "requires_double_review"))
+    if policy.protocols:
+        found.append(because(~F.coalesce(F.col("protocol_version").isin(list(policy.protocols)), F.lit(False)), "unapproved_protocol_version"))
+    if policy.target_partition != "test":
+        found.append(because(F.coalesce("locked", F.lit(False)), "locked_test_partition_violation"))
+    reasons = F.array_compact(F.array(*found))
+    eligible = F.size(reasons) == 0
+    return rows.withColumns({"reasons": F.array_join(reasons, ","), "eligible": eligible, "label": F.when(eligible, (outcome == "match").cast("int"))}).drop("locked")
+
+
+def promotion_summary(evaluated: DataFrame) -> DataFrame:
+    """(evaluated, eligible, positives, negatives, audit_only, rejected) in one row; what is not eligible is kept for audit only."""
+    ok = F.col("eligible")
+    return evaluated.agg(F.count(F.lit(1)).alias("evaluated"), F.count(F.when(ok, 1)).alias("eligible"), F.count(F.when(F.col("label") == 1, 1)).alias("positives"),
+                         F.count(F.when(F.col("label") == 0, 1)).alias("negatives"), F.count(F.when(~ok, 1)).alias("audit_only"), F.count(F.when(~ok, 1)).alias("rejected"))
+
+
+def promoted_labels(evaluated: DataFrame, protocol: str, components: DataFrame | None = None) -> DataFrame:
+    """Eligible pairs as verified labels: pair_digest, keys, label, entity_components, household_components, verification_protocol.
+
+    ``components(left_record_key, right_record_key, entity_components, household_components)`` says
+    what is known of a pair's components; a pair without any gets an entity component of its own.
+    """
+    key = ["left_record_key", "right_record_key"]
+    none = F.array().cast("array<string>")
+    good = evaluated.filter("eligible").select(*key, "label").withColumn("pair_digest", pair_digest(F.col(key[0]), F.col(key[1])))
+    if components is None:
+        good = good.withColumns({"entity_components": none, "household_components": none})
+    else:
+        good = good.join(components.select(*key, "entity_components", "household_components"), key, "left")
+    entity = F.coalesce("entity_components", none)
+    own = F.array(F.sha2(F.concat(F.lit("adjudicated-entity:"), "pair_digest"), 256))
+    return good.select("pair_digest", *key, "label", F.when(F.size(entity) > 0, entity).otherwise(own).alias("entity_components"),
+                       F.coalesce("household_components", none).alias("household_components"), F.lit(protocol).alias("verification_protocol"))
 
 
 def append_ledger(entries: list[dict], records: list[dict]) -> list[dict]:

@@ -13,6 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.operators.skew import number_rows
+from kinfold.session import Scratch
+
 
 @dataclass(frozen=True)
 class Exact:
@@ -129,26 +132,36 @@ class BudgetExceeded(RuntimeError):
     """More candidate pairs than the plan allows."""
 
 
-def pair_upper_bound(left: DataFrame, right: DataFrame | None, rules: dict) -> int:
-    """Most pairs the rules can give: sums of block sizes multiplied, from histograms of the blocks.
+def pair_bounds(left: DataFrame, right: DataFrame | None, rules: dict) -> tuple[int, int]:
+    """Fewest and most pairs the rules can give, from histograms of the blocks instead of the join.
 
-    Conjunctions without an equality use the whole table sizes.  Costs two aggregations per
-    conjunction instead of the join.
+    A conjunction gives at most the sum of its blocks' products, and exactly that if it has no date
+    window.  The most is the sum over all conjunctions, the fewest the largest of the exact ones.
     """
-    total = 0
+    least = most = 0
     for predicate in rules.values():
         for leaves in conjunctions(predicate):
             keys = [F.substring(F.col(f"v_{x.variable}").cast("string"), 1, x.length) if isinstance(x, Prefix) else F.col(f"v_{x.variable}") for x in leaves if not isinstance(x, DateWindow)]
-            if not keys:
-                total += left.count() * (right or left).count()
-                continue
-            block = F.xxhash64(*keys).alias("b")
+            block = F.xxhash64(*keys).alias("b") if keys else F.lit(0).alias("b")
             solid = reduce(lambda a, b: a & b, [F.col(f"v_{x.variable}").isNotNull() for x in leaves])
             n = left.filter(solid).groupBy(block).agg(F.count(F.lit(1)).alias("n"))
-            m = (right or left).filter(solid).groupBy(block).agg(F.count(F.lit(1)).alias("m"))
-            row = n.join(m, "b").agg(F.sum(F.col("n") * F.col("m")).alias("x")).first()
-            total += row["x"] or 0
-    return total
+            if right is None:
+                found = n.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
+            else:
+                m = right.filter(solid).groupBy(block).agg(F.count(F.lit(1)).alias("m"))
+                found = n.join(m, "b").agg(F.sum(F.col("n") * F.col("m"))).first()[0]
+            most += int(found or 0)
+            if len(keys) == len(leaves):
+                least = max(least, int(found or 0))
+    return least, most
+
+
+def check_bounds(left: DataFrame, right: DataFrame | None, rules: dict, budget: int) -> bool:
+    """Whether pairs must still be counted; BudgetExceeded, before any join, if the blocks alone prove too many."""
+    least, most = pair_bounds(left, right, rules)
+    if least > budget:
+        raise BudgetExceeded(f"at least {least} candidate pairs, more than {budget}")
+    return most > budget
 
 
 def check_budget(pairs: DataFrame, budget: int) -> DataFrame:
@@ -165,15 +178,23 @@ def candidate_diagnostics(pairs: DataFrame) -> DataFrame:
                      F.coalesce(F.max("retrieval_rule_count"), F.lit(0)).alias("maximum_rule_count"))
 
 
-def random_pairs(left: DataFrame, right: DataFrame, n: int, seed: int, per_side: int | None = None) -> DataFrame:
-    """``n`` of all (l, r) pairs, those with the smallest md5 of keys and seed.
+def random_pairs(left: DataFrame, right: DataFrame, n: int, seed: int, scratch: Scratch) -> DataFrame:
+    """``n`` different (l, r) pairs drawn from all pairs of the two tables, every pair as likely as any other.
 
-    Each side is first reduced to the ``per_side`` records with the smallest md5, by default enough
-    for 100 n pairs, so the product stays bounded however large the tables are; the sampling
-    operator's size is its feature.
+    Records are numbered in order of their keys; a draw is a number from 0 and hashes to one number
+    a side, so that the work grows with ``n`` and never with the product of the tables.  Where that
+    product is at most four times ``n``, all of its cells are ordered by hash instead.  The sample's
+    size is the operator's feature.
     """
-    side = per_side or max(1000, int((100 * n) ** 0.5) + 1)
-    pick = lambda df, c: df.select(F.col("record_key").alias(c)).orderBy(F.md5(F.concat_ws(":", "record_key", F.lit(str(seed)))), "record_key").limit(side)
-    both = pick(left, "left_record_key").crossJoin(F.broadcast(pick(right, "right_record_key")))
-    order = F.md5(F.concat_ws(":", "left_record_key", "right_record_key", F.lit(str(seed))))
-    return both.orderBy(order, "left_record_key", "right_record_key").limit(n)
+    one = number_rows(left.select(F.col("record_key").alias("left_record_key")), "left_record_key", scratch, "sample-left").withColumnRenamed("n", "i")
+    two = number_rows(right.select(F.col("record_key").alias("right_record_key")), "right_record_key", scratch, "sample-right").withColumnRenamed("n", "j")
+    many, much = one.count(), two.count()
+    text = lambda *parts: F.md5(F.concat_ws(":", *parts, F.lit(str(seed))))
+    if many * much <= 4 * n:
+        cells = left.sparkSession.range(many * much).withColumns({"i": F.expr(f"id div {max(much, 1)}"), "j": F.col("id") % max(much, 1)})
+        drawn = cells.orderBy(text(F.col("id").cast("string")), "id").limit(n)
+    else:
+        number = lambda side, size: F.conv(F.substring(text(F.col("id").cast("string"), F.lit(side)), 1, 15), 16, 10).cast("long") % size
+        draws = left.sparkSession.range(2 * n + 100).withColumns({"i": number("l", many), "j": number("r", much)})
+        drawn = draws.groupBy("i", "j").agg(F.min("id").alias("id")).orderBy("id").limit(n)
+    return drawn.join(one, "i").join(two, "j").select("left_record_key", "right_record_key")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from kinfold.session import Scratch
 
 #: Edges one task may take for an order-dependent solver; a larger component stops the job.
 COMPONENT_EDGES = 200_000
+#: Edges of small components that a task takes in one batch.
+EDGES_PER_TASK = 50_000
 
 
 class ClusterTooLarge(RuntimeError):
@@ -26,14 +30,21 @@ def utility(p: Column) -> Column:
     return F.least(F.greatest(F.log(q / (1 - q)), F.lit(-30.0)), F.lit(30.0))
 
 
-def build_graph(edges: DataFrame) -> DataFrame:
-    """Canonical undirected edges (u, v, weight), u < v; of repeated pairs the largest weight stays.
+def build_graph(edges: DataFrame, nodes: DataFrame | None = None, order: str | None = None) -> DataFrame:
+    """Canonical undirected edges (u, v, weight), u < v; of repeated pairs the last in ``order`` stays, without one the largest weight.
 
-    Loops, null ends and weights outside [0, 1] stop the job.
+    Loops, null ends and weights outside [0, 1] stop the job, and so does an end that is not in
+    ``nodes(record_key)`` where these are given.
     """
+    if nodes is not None:
+        known = nodes.select("record_key").distinct()
+        strange = edges.select(F.explode(F.array("u", "v")).alias("record_key")).distinct().join(known, "record_key", "left_anti")
+        if not strange.isEmpty():
+            raise ValueError("GRAPH: an edge names an unknown record")
     sound = F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")) & F.col("weight").between(0, 1)
-    checked = edges.select(F.when(sound, F.col("u")).otherwise(F.raise_error(F.lit("GRAPH: an edge is not sound"))).alias("u"), "v", "weight")
-    return checked.groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.max("weight").alias("weight")).select(F.col("a").alias("u"), F.col("b").alias("v"), "weight")
+    checked = edges.select(F.when(sound, F.col("u")).otherwise(F.raise_error(F.lit("GRAPH: an edge is not sound"))).alias("u"), "v", "weight", *([order] if order else []))
+    kept = F.max_by("weight", F.struct(order, "weight")) if order else F.max("weight")
+    return checked.groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(kept.alias("weight")).select(F.col("a").alias("u"), F.col("b").alias("v"), "weight")
 
 
 def cluster_digest(dataset: str, members: Column) -> Column:
@@ -70,8 +81,9 @@ def solve_components(nodes: DataFrame, edges: DataFrame, scratch: Scratch, solve
     """(record_key, cluster_key) by an order-dependent solver: ``clique``, ``agglomerative`` or ``correlation``.
 
     Such solvers only follow edges at or above the threshold, so each component of those edges is
-    solved by itself in one task; with its cannot-links.  A component above COMPONENT_EDGES edges
-    stops the job: nothing is cut to fit.  ``nodes(record_key, dataset_id)``.
+    solved by itself in one task; with its cannot-links.  A task works through many small components.
+    A component above COMPONENT_EDGES edges stops the job: nothing is cut to fit.
+    ``nodes(record_key, dataset_id)``.
     """
     good = scratch.keep(edges.filter(F.col("weight") >= threshold).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "weight"), "solver-edges")
     roots = scratch.keep(connected_components(good, scratch, "solver"), "solver-roots")
@@ -86,39 +98,99 @@ def solve_components(nodes: DataFrame, edges: DataFrame, scratch: Scratch, solve
     rows = (coloured.join(named, "u", "left").join(named.toDF("v", "dv"), "v", "left")
             .select("component", "u", "v", "weight", "apart", "du", "dv", pair_digest(F.col("u"), F.col("v")).alias("digest")))
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
+    def solve_one(group: pd.DataFrame) -> dict:
         apart = {frozenset(x) for x in group.loc[group["apart"], ["u", "v"]].itertuples(index=False, name=None)}
         live = group[~group["apart"]]
         dataset = dict(zip(live["u"], live["du"])) | dict(zip(live["v"], live["dv"]))
         triples = list(live[["u", "v", "weight"]].itertuples(index=False, name=None))
         if solver == "clique":
-            out = cliques(list(live[["u", "v", "weight", "digest"]].itertuples(index=False, name=None)), largest)
+            return cliques(list(live[["u", "v", "weight", "digest"]].itertuples(index=False, name=None)), largest)
         elif solver == "agglomerative":
-            out = agglomerate(triples, apart, dataset, largest, one_per_dataset)
+            return agglomerate(triples, apart, dataset, largest, one_per_dataset)
         elif solver == "correlation":
-            out = pivots(triples, apart, dataset, largest, one_per_dataset, threshold)
-        else:
-            raise ValueError(f"unknown solver {solver}")
-        return pd.DataFrame(sorted(out.items()), columns=["record_key", "cluster_key"])
+            return pivots(triples, apart, dataset, largest, one_per_dataset, threshold)
+        raise ValueError(f"unknown solver {solver}")
+
+    def solve(bucket: pd.DataFrame) -> pd.DataFrame:
+        found = [x for _, group in bucket.groupby("component", sort=True) for x in sorted(solve_one(group).items())]
+        return pd.DataFrame(found, columns=["record_key", "cluster_key"])
 
-    solved = rows.groupBy("component").applyInPandas(solve, "record_key string, cluster_key string")
+    buckets = max(good.sparkSession.sparkContext.defaultParallelism, math.ceil(good.count() / EDGES_PER_TASK))
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets))).repartition(buckets, "bucket")
+    solved = dealt.groupBy("bucket").applyInPandas(solve, "record_key string, cluster_key string")
     return nodes.select("record_key").distinct().join(solved, "record_key", "left").select("record_key", F.coalesce("cluster_key", "record_key").alias("cluster_key"))
 
 
+#: Members up to which a cluster's digest is one expression over the gathered keys.
+GATHERED_MEMBERS = 10_000
+
+
+def entity_digests(members: DataFrame) -> DataFrame:
+    """(cluster_key, global_entity_id): sha256 over ``key NUL data set LF`` of all members in order of their keys.
+
+    ``members(cluster_key, record_key, dataset_id)``.  A larger cluster is never gathered: its rows
+    are sorted, and one pass feeds them to the hash in constant memory.  The digest is the same
+    either way.
+    """
+    sizes = members.groupBy("cluster_key").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda cond: members.join(sizes.filter(cond).select("cluster_key"), "cluster_key", "left_semi")
+    line = F.concat("record_key", F.lit("\x00"), F.coalesce("dataset_id", F.lit("")), F.lit("\n"))
+    small = of(F.col("n") <= GATHERED_MEMBERS).groupBy("cluster_key").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ""), 256).alias("global_entity_id"))
+
+    def digest(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        row = lambda k, h: pa.RecordBatch.from_pydict({"cluster_key": [k], "global_entity_id": [h.hexdigest()]})
+        own, h = None, None
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if key != own:
+                    if h is not None:
+                        yield row(own, h)
+                    own, h = key, hashlib.sha256()
+                h.update(text.encode())
+        if h is not None:
+            yield row(own, h)
+
+    large = of(F.col("n") > GATHERED_MEMBERS).select("cluster_key", line.alias("line")).repartition("cluster_key").sortWithinPartitions("cluster_key", "line")
+    return small.unionByName(large.mapInArrow(digest, "cluster_key string, global_entity_id string"))
+
+
 def crosswalk(nodes: DataFrame, clusters: DataFrame, edges: DataFrame) -> DataFrame:
     """(record_key, dataset_id, global_entity_id, is_canonical, cluster_size, confidence).
 
-    The entity id is the sha256 of the cluster's smallest key; confidence is the mean weight of the
-    cluster's own edges, 1 for a single record and 0 for several records without an edge.
+    The entity id is that of ``entity_digests``; confidence is the mean weight of the cluster's own
+    edges, 1 for a single record and 0 for several records without an edge.
     """
     own = clusters.select("record_key", "cluster_key")
+    ids = entity_digests(own.join(nodes.select("record_key", "dataset_id"), "record_key"))
     sizes = own.groupBy("cluster_key").agg(F.count(F.lit(1)).alias("cluster_size"))
     inner = (edges.join(own.toDF("u", "cu"), "u").join(own.toDF("v", "cv"), "v").filter("cu = cv")
              .groupBy(F.col("cu").alias("cluster_key")).agg(F.avg("weight").alias("mean")))
-    facts = sizes.join(inner, "cluster_key", "left")
+    facts = sizes.join(inner, "cluster_key", "left").join(ids, "cluster_key")
     confidence = F.when(F.col("cluster_size") == 1, 1.0).otherwise(F.coalesce("mean", F.lit(0.0)))
     return (nodes.join(own, "record_key").join(facts, "cluster_key")
-            .select("record_key", "dataset_id", F.sha2("cluster_key", 256).alias("global_entity_id"), (F.col("record_key") == F.col("cluster_key")).alias("is_canonical"), "cluster_size", confidence.alias("confidence")))
+            .select("record_key", "dataset_id", "global_entity_id", (F.col("record_key") == F.col("cluster_key")).alias("is_canonical"), "cluster_size", confidence.alias("confidence")))
+
+
+def cluster_entities(nodes: DataFrame, clusters: DataFrame, edges: DataFrame) -> DataFrame:
+    """(cluster_key, global_entity_id, cluster_size, datasets, edge_count, mean_weight), one row per cluster.
+
+    ``datasets`` counts members by data set, as "name=count" in order of names; a single record has
+    a mean weight of 1, several records without an edge 0.
+    """
+    own = clusters.select("record_key", "cluster_key")
+    named = own.join(nodes.select("record_key", "dataset_id"), "record_key")
+    per = named.groupBy("cluster_key", "dataset_id").agg(F.count(F.lit(1)).alias("n"))
+    # as many entries as there are data sets
+    spread = per.groupBy("cluster_key").agg(F.sum("n").alias("cluster_size"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "dataset_id", F.col("n").cast("string")))), ",").alias("datasets"))
+    inner = (edges.join(own.toDF("u", "cu"), "u").join(own.toDF("v", "cv"), "v").filter("cu = cv")
+             .groupBy(F.col("cu").alias("cluster_key")).agg(F.count(F.lit(1)).alias("edge_count"), F.avg("weight").alias("mean")))
+    return spread.join(inner, "cluster_key", "left").join(entity_digests(named), "cluster_key").select(
+        "cluster_key", "global_entity_id", "cluster_size", "datasets", F.coalesce("edge_count", F.lit(0)).alias("edge_count"),
+        F.when(F.col("cluster_size") == 1, 1.0).otherwise(F.coalesce("mean", F.lit(0.0))).alias("mean_weight"))
 
 
 def constraint_violations(clusters: DataFrame, nodes: DataFrame, cannot_link: DataFrame, must_link: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.operators.assignment import independent_top1
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -16,16 +18,16 @@ class Policy:
     no_match: float = 0.20
 
 
-#: Flags in the order in which their reasons are listed; the first four are structural.
-FLAGS = ("search_incomplete", "search_truncated", "calibration_invalid", "insufficient_data_quality", "anchor_conflict", "model_disagreement", "assignment_conflict")
+#: Reason codes in the order in which they are listed; the first four are structural.
+FLAGS = ("candidate_search_incomplete", "candidate_search_truncated", "calibration_invalid", "insufficient_data_quality", "anchor_conflict", "model_disagreement", "assignment_conflict")
 STRUCTURAL = FLAGS[:4]
 
 
 def top_two(edges: DataFrame) -> DataFrame:
-    """(source, top_target, top_probability, second_probability, margin) by (probability, digest).
+    """(source, top_target, top_probability, second_probability, margin) by (-probability, digest).
 
     Two combining aggregates per source, no window: a source with very many candidates is no
-    sorted group.  ``edges(source, target, probability, digest)``; the second is null for one edge.
+    sorted group.  ``edges(source, target, probability, digest)``; the second is 0 for one edge.
     """
     best = edges.groupBy("source").agg(F.max("probability").alias("top_probability"))
     at_top = edges.join(best, "source")
@@ -33,9 +35,27 @@ def top_two(edges: DataFrame) -> DataFrame:
         F.min_by("target", F.when(F.col("probability") == F.col("top_probability"), F.col("digest"))).alias("top_target"),
         F.sum(F.when(F.col("probability") == F.col("top_probability"), 1).otherwise(0)).alias("ties"),
         F.max(F.when(F.col("probability") < F.col("top_probability"), F.col("probability"))).alias("lower"))
-    second = F.when(F.col("ties") > 1, F.col("top_probability")).otherwise(F.col("lower"))
+    second = F.coalesce(F.when(F.col("ties") > 1, F.col("top_probability")).otherwise(F.col("lower")), F.lit(0.0))
     return per.select("source", "top_target", "top_probability", second.alias("second_probability"),
-                      F.greatest(F.col("top_probability") - F.coalesce(second, F.lit(0.0)), F.lit(0.0)).alias("margin"))
+                      F.greatest(F.col("top_probability") - second, F.lit(0.0)).alias("margin"))
+
+
+def evidence(sources: DataFrame, costed: DataFrame, chosen: DataFrame, no_match_utility: float = 0.0) -> DataFrame:
+    """One row per chosen edge, or per source without one: what ``classify`` needs, but for flags from elsewhere.
+
+    ``chosen(source, target, probability)`` may hold several targets of a source; a source without
+    candidates has a top probability and a margin of 0.  ``assignment_conflict`` is set where the
+    assignment is not each source's own first choice: another target than the one of candidate
+    rank 1, or none although the best candidate alone is better than no match.
+    """
+    best = top_two(costed)
+    own = independent_top1(costed, no_match_utility).withColumnRenamed("target", "own_choice")
+    rows = (sources.select("source").distinct().join(best, "source", "left")
+            .join(chosen.select("source", F.col("target").alias("assigned_target"), "probability"), "source", "left").join(own, "source", "left"))
+    assigned = F.col("assigned_target")
+    conflict = ~assigned.eqNullSafe(F.col("own_choice")) | (assigned.isNotNull() & (assigned != F.col("top_target")))
+    zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("top_probability", "second_probability", "margin")}
+    return rows.withColumns(zero).withColumn("assignment_conflict", conflict).drop("own_choice")
 
 
 def classify(evidence: DataFrame, policy: Policy = Policy()) -> DataFrame:
@@ -55,7 +75,7 @@ def classify(evidence: DataFrame, policy: Policy = Policy()) -> DataFrame:
         .when(none & (top <= policy.no_match), "no_match_explicit_assignment")
         .when(none, "unresolved_no_match_margin")
         .when(conflict, "review_conflicting_evidence")
-        .when((p >= policy.confirmed) & (F.col("margin") >= policy.margin), "confirmed_probability_and_margin")
+        .when((p >= policy.confirmed) & (F.col("margin") >= policy.margin), "confirmed_calibrated_assigned_margin")
         .when(p >= policy.review, "review_probability_region")
         .otherwise("unresolved_insufficient_probability"))
     status = (F.when(rule.startswith("unresolved"), "unresolved").when(rule.startswith("review"), "review_required")
@@ -78,37 +98,63 @@ def review_queue(decisions: DataFrame) -> DataFrame:
 
 
 def uncertainty(p: Column, threshold: float) -> Column:
+    """1 at the threshold, falling with the distance from it; 1 for an unknown probability."""
     t = min(max(threshold, 0.01), 0.99)
-    return F.coalesce(1 - F.abs(p - t) / max(t, 1 - t), F.lit(1.0))
+    inside = F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
+    return F.when(p.isNull() | F.isnan(p), 1.0).otherwise(F.greatest(1 - F.abs(inside - t) / max(t, 1 - t), F.lit(0.0)))
 
 
 def margin_score(m: Column) -> Column:
-    return F.when(m.isNull() | (m < 0), 1.0).otherwise(1 - F.least(m, F.lit(1.0)))
+    return F.when(m.isNull() | F.isnan(m) | (m < 0), 1.0).otherwise(1 - F.least(m, F.lit(1.0)))
 
 
 def committee(*probabilities: Column) -> Column:
     """Spread of the given probabilities; 0 with fewer than two."""
-    have = F.array_compact(F.array(*probabilities))
+    have = F.filter(F.array(*probabilities), lambda p: p.isNotNull() & ~F.isnan(p))
     return F.when(F.size(have) >= 2, F.array_max(have) - F.array_min(have)).otherwise(0.0)
 
 
-#: Weight of the most pressing reason; reasons not listed count 0.5.
-REASON_WEIGHTS = {"review_anchor_conflict": 1.0, "review_model_disagreement": 0.9, "review_conflicting_evidence": 0.8, "review_probability_region": 0.6, "review_no_match_with_plausible_candidate": 0.7}
+#: Weight of the most pressing reason; reasons not listed count 0.5.
+REASON_WEIGHTS = {
+    "review_anchor_conflict": 1.0,
+    "review_model_disagreement": 0.95,
+    "review_assignment_contention": 0.90,
+    "review_probability_region": 0.80,
+    "review_candidate_budget_truncated": 0.70,
+    "unresolved_insufficient_probability": 0.60,
+}
+#: Shares of uncertainty, margin, committee and reason in a hybrid priority.
+HYBRID = (0.40, 0.30, 0.20, 0.10)
 
 
-def priority(u: Column, m: Column, c: Column, reasons: Column) -> Column:
-    """0.4 uncertainty + 0.3 margin + 0.2 committee + 0.1 weight of the strongest reason."""
+def reason_score(reasons: Column) -> Column:
     weight = F.create_map(*[F.lit(x) for pair in REASON_WEIGHTS.items() for x in pair])
-    strongest = F.array_max(F.transform(F.split(reasons, ","), lambda r: F.coalesce(F.try_element_at(weight, r), F.lit(0.5))))
-    return 0.4 * u + 0.3 * m + 0.2 * c + 0.1 * strongest
+    return F.coalesce(F.array_max(F.transform(F.split(reasons, ","), lambda r: F.coalesce(F.try_element_at(weight, r), F.lit(0.5)))), F.lit(0.5))
+
+
+def priority(u: Column, m: Column, c: Column, reasons: Column, strategy: str = "hybrid", weights: tuple = HYBRID) -> Column:
+    """One of the scores by itself, or their weighted mean with that of the strongest reason."""
+    alone = {"uncertainty": u, "margin": m, "committee": c}
+    if strategy in alone:
+        return alone[strategy]
+    if strategy != "hybrid":
+        raise ValueError(f"unknown strategy {strategy}")
+    a, b, d, e = weights
+    return (a * u + b * m + d * c + e * reason_score(reasons)) / (sum(weights) if sum(weights) > 0 else 1.0)
 
 
 def prioritise(queue: DataFrame, budget: int, temperature: float = 1.0) -> DataFrame:
     """The ``budget`` rows of highest priority with queue_rank and softmax sampling_probability.
 
-    The budget is the feature: reviewers can take so many.  ``queue`` has source and priority.
+    The budget is the feature: reviewers can take so many.  ``queue`` has relationship_id, which
+    settles ties, and priority, at most 1.  The softmax runs over the whole queue, from one combining
+    aggregate; only at a very low temperature must priorities be shifted by their true maximum.
     """
-    total = queue.agg(F.max("priority").alias("hi")).crossJoin(queue.select("priority")).agg(F.sum(F.exp((F.col("priority") - F.col("hi")) / temperature)).alias("z"), F.max("hi").alias("hi"))
-    top = queue.orderBy(F.desc("priority"), "source").limit(budget)
-    ranked = top.withColumn("queue_rank", F.row_number().over(Window.orderBy(F.desc("priority"), "source")))  # at most ``budget`` rows
-    return ranked.crossJoin(F.broadcast(total)).withColumn("sampling_probability", F.exp((F.col("priority") - F.col("hi")) / temperature) / F.col("z")).drop("hi", "z")
+    if temperature <= 0:
+        raise ValueError("temperature must be above 0")
+    top_priority = 1.0 if temperature >= 0.01 else queue.agg(F.max("priority")).first()[0] or 0.0
+    shifted = lambda p: F.exp((p - top_priority) / temperature)
+    total = queue.agg(F.sum(shifted(F.col("priority"))).alias("z"))  # one row
+    top = queue.orderBy(F.desc("priority"), "relationship_id").limit(budget)
+    ranked = top.withColumn("queue_rank", F.row_number().over(Window.orderBy(F.desc("priority"), "relationship_id")))  # at most ``budget`` rows
+    return ranked.join(F.broadcast(total)).withColumn("sampling_probability", shifted(F.col("priority")) / F.col("z")).drop("z")

@@ -89,6 +89,12 @@ def assignment_metrics(assigned: DataFrame, truth: DataFrame) -> DataFrame:
                     count(F.col("want").isNotNull() & ~F.coalesce(hit, F.lit(False))).alias("missed_links"), count(F.col("got").isNull() & F.col("want").isNull()).alias("correct_no_match"), F.count(F.lit(1)).alias("sources"))
 
 
+def truth_pairs(links: DataFrame) -> DataFrame:
+    """(source, target) of sources with exactly one true target; others have no single truth."""
+    per = links.select("source", "target").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("target").alias("target"))
+    return per.filter("n = 1").select("source", "target")
+
+
 def threshold_metrics(decisions: DataFrame) -> DataFrame:
     """One row from (status, label): confirmed sensitivity and PPV, no-match specificity, review fraction."""
     count = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))

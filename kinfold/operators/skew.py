@@ -35,3 +35,19 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, hot: list, how: str
     is_hot: Column = F.col(key).isin(hot)
     warm = left.filter(~is_hot | F.col(key).isNull()).join(right.filter(~is_hot), key, how)
     return warm.unionByName(left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), key, how))
+
+
+def number_rows(rows: DataFrame, key: str, scratch: Scratch, tag: str) -> DataFrame:
+    """The distinct rows with a dense number ``n`` from 0, in order of ``key``.
+
+    Range partitions number their own rows; their starts are sums of partition sizes, which is all
+    that reaches the driver.
+    """
+    placed = scratch.keep(rows.distinct().repartitionByRange(key).sortWithinPartitions(key).withColumn("at", F.monotonically_increasing_id()), tag)
+    part = F.shiftrightunsigned("at", 33)
+    start, starts = 0, {}
+    for p, count in sorted(placed.groupBy(part).count().collect()):  # a row per partition
+        starts[p] = start
+        start += count
+    at = F.create_map(*[F.lit(x) for pair in (starts or {0: 0}).items() for x in pair])
+    return placed.withColumn("n", F.element_at(at, part) + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("at")

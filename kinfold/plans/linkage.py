@@ -9,7 +9,7 @@ from kinfold.functions import normalise as N
 from kinfold.functions import similarity as S
 from kinfold.operators.blocking import AllOf, AnyOf, DateWindow, Exact, Prefix, candidate_diagnostics, candidate_pairs, random_pairs
 from kinfold.operators.features import Anchor, Comparison, anchor_conflicts, anchor_evidence, comparison_features
-from kinfold.session import read_table
+from kinfold.session import Scratch, read_table
 
 DATES = ["yyyy-MM-dd", "dd/MM/yyyy", "yyyyMMdd"]
 
@@ -167,7 +167,7 @@ def cmp_missing_flags(spark, sf_dir):
 
 
 def random_pair_sample(spark, sf_dir):
-    return random_pairs(*sides(spark, sf_dir), n=500, seed=7, per_side=1000)
+    return random_pairs(*sides(spark, sf_dir), n=500, seed=7, scratch=Scratch(spark, "sample"))
 
 
 QUERIES = {
@@ -260,9 +260,10 @@ ORACLE = {
       from orders a join orders b on a.o_custkey = b.o_custkey and a.o_orderkey::varchar < b.o_orderkey::varchar and abs(date_diff('day', a.o_orderdate::date, b.o_orderdate::date)) <= 30""",
     "candidate_diagnostics": CANDIDATES + """ select count(*) as candidate_count, coalesce(sum((retrieval_rule_count > 1)::bigint), 0)::bigint as multi_rule_count,
       coalesce(max(retrieval_rule_count), 0)::integer as maximum_rule_count from c""",
-    "random_pair_sample": PREPARED + """, x as (select record_key as left_record_key from pa order by md5(record_key || ':7'), record_key limit 1000),
-      y as (select record_key as right_record_key from pb order by md5(record_key || ':7'), record_key limit 1000)
-      select * from x cross join y order by md5(left_record_key || ':' || right_record_key || ':7'), 1, 2 limit 500""",
+    "random_pair_sample": PREPARED + """, x as (select record_key, row_number() over (order by record_key) - 1 as n from pa), y as (select record_key, row_number() over (order by record_key) - 1 as n from pb),
+      d as (select id, ('0x' || substr(md5(id || ':l:7'), 1, 15))::bigint % (select count(*) from x) as i, ('0x' || substr(md5(id || ':r:7'), 1, 15))::bigint % (select count(*) from y) as j from range(1100) t(id)),
+      u as (select i, j, min(id) as id from d group by 1, 2 order by 3 limit 500)
+      select x.record_key as left_record_key, y.record_key as right_record_key from u join x on x.n = i join y on y.n = j""",
     "zero_candidate_sources": CANDIDATES + " select record_key from pa where record_key not in (select left_record_key from c)",
     "cmp_exact": _value("case when l_group is not null and r_group is not null then case when l_group = r_group then 1.0 else 0.0 end end::double"),
     "cmp_jaro_winkler": _value("jaro_winkler_similarity(l_label, r_label)"), "cmp_levenshtein": _value(_sim(_lev)), "cmp_levenshtein_max": _value(_sim(_lev, 6)),

@@ -12,7 +12,7 @@ from kinfold.operators import assignment as A
 from kinfold.operators import clustering as C
 from kinfold.operators import decisions as D
 from kinfold.operators import fellegi as FS
-from kinfold.operators.blocking import candidate_pairs, check_budget, random_pairs
+from kinfold.operators.blocking import candidate_pairs, check_bounds, check_budget, random_pairs
 from kinfold.operators.features import anchor_conflicts, anchor_evidence, comparison_features
 from kinfold.plans.config import LinkagePlan
 from kinfold.session import Scratch
@@ -31,7 +31,7 @@ class Run:
     model: dict
 
 
-#: Random pairs from which chance agreement is estimated: the size of a sample.
+#: Random pairs, of all pairs, from which chance agreement is estimated: the size of a sample.
 U_PAIRS = 20_000
 
 
@@ -62,9 +62,14 @@ def run_plan(spark: SparkSession, plan: LinkagePlan, roots: list[str] | None = N
     tables = list(prepared.values())
     left, right = tables[0], tables[-1]
     dedupe = plan.mode == "dedupe_only"
-    candidates = check_budget(scratch.keep(candidate_pairs(left, None if dedupe else right, plan.rules), "candidates"), plan.pair_budget)
+    other = None if dedupe else right
+    open_count = check_bounds(left, other, plan.rules, plan.pair_budget)
+    candidates = candidate_pairs(left, other, plan.rules)
+    if open_count:
+        check_budget(candidates, plan.pair_budget)
+    candidates = scratch.keep(candidates, "candidates")
     features = scratch.keep(comparison_features(candidates, left, right, list(plan.comparisons)), "features")
-    chance = comparison_features(random_pairs(left, right, U_PAIRS, seed=1, per_side=2_000), left, right, list(plan.comparisons))
+    chance = comparison_features(random_pairs(left, right, U_PAIRS, seed=1, scratch=scratch), left, right, list(plan.comparisons))
     model = _model(features, chance, plan)
     scores = scratch.keep(FS.score(features, model["weights"], plan.prior).select("left_record_key", "right_record_key", "match_weight", "match_probability"), "scores")
     edges = scores.select(F.col("left_record_key").alias("source"), F.col("right_record_key").alias("target"), F.col("match_probability").alias("probability"))
@@ -84,8 +89,8 @@ def run_plan(spark: SparkSession, plan: LinkagePlan, roots: list[str] | None = N
         first, second = list(own.values())
         result = C.link_and_dedupe(edges, first, second, lambda e: solver(A.edge_costs(e), scratch))
         return Run(prepared, candidates, features, scores, result, model)
-    chosen = solver(costed, scratch).groupBy("source").agg(F.min_by(F.struct("target", "probability"), "cost").alias("x")).select("source", F.col("x.target").alias("assigned_target"), "x.probability")
-    evidence = left.select(F.col("record_key").alias("source")).join(D.top_two(costed), "source", "left").join(chosen, "source", "left")
+    costed = scratch.keep(costed, "costed-edges")
+    evidence = D.evidence(left.select(F.col("record_key").alias("source")), costed, solver(costed, scratch))
     if plan.anchors:
         flagged = anchor_conflicts(anchor_evidence(left, right, list(plan.anchors))).select(F.col("left_record_key").alias("source"), F.lit(True).alias("anchor_conflict"))
         evidence = evidence.join(flagged, "source", "left")

@@ -74,7 +74,7 @@ def test_decisions(spark):
     df = spark.createDataFrame(rows, f"source string, assigned_target string, probability double, top_probability double, margin double, {flags}")
     got = {r["source"]: (r["status"], r["reasons"]) for r in D.classify(df, D.Policy(.9, .15, .6, .2)).collect()}
     assert {k: v[0] for k, v in got.items()} == {"c": "confirmed", "r": "review_required", "n": "no_match", "u": "unresolved", "x": "unresolved", "k": "review_required"}
-    assert got["x"][1] == "search_truncated" and got["k"][1] == "anchor_conflict" and got["r"][1] == "review_probability_region"
+    assert got["x"][1] == "candidate_search_truncated" and got["k"][1] == "anchor_conflict" and got["r"][1] == "review_probability_region"
 
 
 REVIEW = "event_id string, left_record_key string, right_record_key string, decision string, confidence double, reviewer_id string, adjudicated_at timestamp, superseded_event_id string"
@@ -86,7 +86,7 @@ def reviews(spark, votes):
 
 @pytest.mark.parametrize("votes,want", [
     ([("match", .9, None)], ("match", .90, "single_reviewer")), ([("match", .9, None), ("match", .8, None)], ("match", .85, "unanimous")),
-    ([("match", .9, None), ("match", .8, None), ("nonmatch", .7, None)], ("match", .85, "majority")), ([("match", .9, None), ("nonmatch", .8, None)], ("unresolved", 0.0, "tied_vote")),
+    ([("match", .9, None), ("match", .8, None), ("nonmatch", .7, None)], ("match", .85, "majority")), ([("match", .9, None), ("nonmatch", .8, None)], (None, 0.0, "unresolved")),
 ])
 def test_consensus(spark, votes, want):
     r = J.consensus(J.active_events(reviews(spark, votes))).first()
@@ -190,3 +190,70 @@ def test_retrieval_takes_pairs_in_either_order(spark, monkeypatch):
     monkeypatch.setattr(scoring, "latest", lambda s, d, name: s.createDataFrame([(f"{name.replace('_', '-')}-{i}",) for i in range(1, 5 if name == "source_b" else 3)], "record_key string"))
     r = scoring.retrieval(spark, "").first()
     assert (r["candidate_pairs"], r["true_pairs"], r["true_found"], r["zero_candidate_sources"], r["reduction"]) == (2, 2, 1, 0, 0.75)
+
+
+def test_evidence_knows_assignment_conflicts(spark):
+    e = A.edge_costs(spark.createDataFrame([("s1", "t1", .95), ("s1", "t2", .80), ("s2", "t1", .94), ("s2", "t2", .10), ("s4", "t3", .20)], EDGE))
+    sources = spark.createDataFrame([(f"s{i}",) for i in range(1, 5)], "source string")
+    rows = {r["source"]: r for r in D.evidence(sources, e, A.one_to_one(e, Scratch(spark, "t"))).collect()}
+    assert {k: r["assignment_conflict"] for k, r in rows.items()} == {"s1": True, "s2": False, "s3": False, "s4": False}
+    assert rows["s3"]["top_probability"] == 0 and rows["s2"]["second_probability"] == .10
+    flags = {f: F.lit(False) for f in D.FLAGS if f != "assignment_conflict"}
+    got = {r["source"]: r["decision_rule_id"] for r in D.classify(D.evidence(sources, e, A.one_to_one(e, Scratch(spark, "t"))).withColumns(flags)).collect()}
+    assert got == {"s1": "review_conflicting_evidence", "s2": "review_probability_region", "s3": "no_match_explicit_assignment", "s4": "no_match_explicit_assignment"}
+
+
+@pytest.mark.parametrize("method,seniors,votes,want", [
+    ("majority_vote", ("r2",), [("match", .9), ("match", .8), ("nonmatch", .7)], ("nonmatch", .7, "senior_override", None)),
+    ("majority_vote", ("r0", "r2"), [("match", .9), ("match", .8), ("nonmatch", .7)], (None, 0.0, "unresolved", "conflicting_senior_reviewers")),
+    ("strict_double_review", (), [("match", .9)], (None, 0.0, "unresolved", "insufficient_reviewers")),
+    ("strict_double_review", (), [("match", .9), ("nonmatch", .9)], (None, 0.0, "unresolved", "double_review_conflict")),
+    ("unanimous_only", ("r0",), [("match", .9), ("nonmatch", .9)], (None, 0.0, "unresolved", "unanimous_policy_conflict")),
+    ("majority_vote", (), [("match", .9), ("nonmatch", .9)], (None, 0.0, "unresolved", "tied_vote")),
+])
+def test_consensus_policies(spark, method, seniors, votes, want):
+    df = reviews(spark, [(d, c, None) for d, c in votes])
+    r = J.consensus(J.active_events(df), J.ConsensusPolicy(method, seniors=seniors)).first()
+    assert (r["outcome"], round(r["confidence"], 6), r["method"], r["dispute_reason"]) == want
+
+
+def test_promotion_gives_every_reason(spark):
+    rows = [("a", "b", "match", .9, 2, "v1"), ("a", "c", "nonmatch", .5, 1, "v2"), ("a", "d", None, 0.0, 2, "v1"), ("a", "e", "unresolved", .9, 2, "v1"), ("a", "f", "match", .9, 2, "v1")]
+    df = spark.createDataFrame(rows, "left_record_key string, right_record_key string, outcome string, confidence double, reviewers long, protocol_version string")
+    locked = spark.createDataFrame([("f", "a"), ("f", "a")], "left_record_key string, right_record_key string")
+    p = J.promotion(df, locked, J.PromotionPolicy(double_review=True, protocols=("v1",)))
+    assert {r["right_record_key"]: r["reasons"] for r in p.collect()} == {
+        "b": "", "c": "insufficient_confidence,requires_double_review,unapproved_protocol_version", "d": "unresolved_dispute,non_binary_outcome_audit_only,insufficient_confidence",
+        "e": "non_binary_outcome_audit_only", "f": "locked_test_partition_violation"}
+    assert J.promotion_summary(p).first().asDict() == {"evaluated": 5, "eligible": 1, "positives": 1, "negatives": 0, "audit_only": 4, "rejected": 4}
+    label = J.promoted_labels(p, "x").collect()
+    assert len(label) == 1 and label[0]["label"] == 1 and len(label[0]["entity_components"]) == 1
+    assert J.promotion(df, locked, J.PromotionPolicy("test")).filter("right_record_key = 'f'").first()["eligible"]
+
+
+def test_entity_digest_covers_every_member(spark, monkeypatch):
+    import hashlib
+
+    rows = [("c1", f"k{i:02d}", "ab"[i % 2]) for i in range(30)] + [("c2", "x", "a")]
+    df = spark.createDataFrame(rows, "cluster_key string, record_key string, dataset_id string")
+    want = {c: hashlib.sha256("".join(f"{k}\x00{d}\n" for c2, k, d in sorted(rows) if c2 == c).encode()).hexdigest() for c in ("c1", "c2")}
+    assert dict(C.entity_digests(df).collect()) == want
+    monkeypatch.setattr(C, "GATHERED_MEMBERS", 5)
+    assert dict(C.entity_digests(df).collect()) == want
+
+
+def test_graph_takes_the_last_weight(spark):
+    e = spark.createDataFrame([("a", "b", .9, 1), ("b", "a", .4, 2)], "u string, v string, weight double, n int")
+    assert C.build_graph(e, order="n").collect() == [("a", "b", .4)] and C.build_graph(e).collect() == [("a", "b", .9)]
+    with pytest.raises(ValueError, match="unknown record"):
+        C.build_graph(e, spark.createDataFrame([("a",)], "record_key string"))
+
+
+def test_priority_strategies(spark):
+    df = spark.createDataFrame([(.5, 0.0, "review_probability_region"), (None, None, None)], "p double, m double, r string")
+    row = lambda strategy: [round(x[0], 6) for x in df.select(D.priority(D.uncertainty(F.col("p"), .5), D.margin_score(F.col("m")), D.committee(F.col("p"), F.lit(.2)), F.col("r"), strategy)).collect()]
+    assert row("uncertainty") == [1, 1] and row("margin") == [1, 1] and row("committee") == [.3, 0] and row("hybrid") == [.84, .75]
+    q = spark.createDataFrame([("x", .2), ("y", .9), ("z", .9)], "relationship_id string, priority double")
+    for temperature in (1.0, .001):
+        got = D.prioritise(q, 2, temperature).collect()
+        assert [r["relationship_id"] for r in got] == ["y", "z"] and got[0]["sampling_probability"] == got[1]["sampling_probability"] > 0

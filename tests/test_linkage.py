@@ -50,7 +50,7 @@ def test_blocking(spark):
     assert tuple(B.candidate_diagnostics(B.candidate_pairs(left, right, rules)).first()) == (3, 1, 2)
     with pytest.raises(B.BudgetExceeded):
         B.check_budget(B.candidate_pairs(left, right, rules), 2)
-    assert B.pair_upper_bound(left, right, rules) >= 3
+    assert B.pair_bounds(left, right, rules)[1] >= 3
     assert B.candidate_pairs(left, right.limit(0), rules).collect() == []
 
 
@@ -111,3 +111,27 @@ def test_model():
     assert all(sum(v) == pytest.approx(1.0) for v in m.values()) and m["a"][1] > 0.5 and m["a"][0] == 0.1
     w = FS.level_weights(m, u, missing)
     assert w["a"][0] == 0 and w["a"][1] > 0 > w["a"][2] and math.isfinite(w["b"][1])
+
+
+def test_random_pairs_come_from_all_pairs(spark):
+    from kinfold.operators.blocking import random_pairs
+    from kinfold.session import Scratch
+
+    a, b = (spark.createDataFrame([(f"{s}{i:04d}",) for i in range(n)], "record_key string") for s, n in (("a", 3000), ("b", 2000)))
+    got = random_pairs(a, b, 2000, 3, Scratch(spark, "t")).collect()
+    assert len(got) == len(set(got)) == 2000
+    assert len({r[0] for r in got}) > 1200 and len({r[1] for r in got}) > 1000  # draws with repeats, from every record
+    assert len(set(random_pairs(a.limit(5), b.limit(4), 30, 3, Scratch(spark, "t")).collect())) == 20
+    assert random_pairs(a.limit(0), b, 30, 3, Scratch(spark, "t")).collect() == []
+
+
+def test_budget_is_checked_before_the_join(spark):
+    from kinfold.operators.blocking import BudgetExceeded, DateWindow, Exact, check_bounds, pair_bounds
+
+    rows = spark.createDataFrame([(f"r{i}", "x" if i < 6 else None) for i in range(8)], "record_key string, v_g string")
+    assert pair_bounds(rows, rows, {"g": Exact("g")}) == (36, 36) and pair_bounds(rows, None, {"g": Exact("g")}) == (15, 15)
+    assert check_bounds(rows, rows, {"g": Exact("g")}, 40) is False
+    with pytest.raises(BudgetExceeded):
+        check_bounds(rows, rows, {"g": Exact("g")}, 20)
+    days = spark.createDataFrame([("r1", None)], "record_key string, v_d date")
+    assert pair_bounds(days, days, {"d": DateWindow("d", 3)}) == (0, 0)
