@@ -19,8 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.functions.kernels import hungarian, sparse_assignment
+from kinfold.functions.kernels import sparse_assignment
 from kinfold.llm.components import hash_to_min
+from kinfold.operators.skew import hot_keys, join_unique
 from kinfold.session import Scratch
 
 #: Neighbours compared on either side under each sort key.
@@ -30,12 +31,17 @@ THRESHOLD = 0.5
 INTRA_THRESHOLD = 0.9
 #: Rows a sort partition should have.
 ROWS_PER_PARTITION = 20_000
-#: Components of candidate edges up to this size are solved exactly.
-EXACT_EDGES = 4_000
-#: A group value with this share of all rows is weak evidence.
-COMMON_GROUP_SHARE = 0.02
-#: A day with this share of all rows stands for an unknown date.
-COMMON_DAY_SHARE = 0.002
+#: Edges of small components that a task takes in one batch.
+EDGES_PER_TASK = 20_000
+#: A day this many times as frequent as usual begins to count as a stand-in for an unknown date.
+DAY_EXCESS = 8.0
+#: Agreement on a group code of share s gives GROUP_GAIN * -ln(s), at most MOST_FROM_GROUP.
+GROUP_GAIN = 0.78
+MOST_FROM_GROUP = 5.0
+#: Greatest log-odds from a label; what a pair must reach; least share of common letter pairs of labels that are compared word by word.
+MOST_FROM_LABEL = 7.5
+LEAST_ODDS = math.log(THRESHOLD / (1 - THRESHOLD))
+LEAST_SHARED = 0.35
 #: Log-odds that two neighbours need to overcome.
 PRIOR_ODDS = 7.4
 
@@ -94,27 +100,40 @@ def _normalised(label: pd.Series, date: pd.Series, group: pd.Series) -> pd.DataF
     return pd.DataFrame({"label": [" ".join(label_words(x)) for x in label], "day": [day_number(x) for x in date], "code": [group_code(x) for x in group]})
 
 
-def _one_edit(a: str, b: str) -> bool:
-    return len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1
+def edits(a: str, b: str) -> int:
+    """Fewest insertions, deletions, changes and swaps of neighbours that turn ``a`` into ``b``; one word of bits a column."""
+    start = 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    a, b = a[start:], b[start:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    if not a or not b:
+        return len(a) + len(b)
+    at: dict = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full, last, distance = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down, diagonal, before = full, 0, 0, 0
+    for c in b:
+        here = at.get(c, 0)
+        swap = ((~diagonal & here) << 1) & before
+        diagonal = ((((here & up) + up) ^ up) | here | down | swap) & full
+        more, less = (down | ~(diagonal | up)) & full, diagonal & up
+        distance += bool(more & last) - bool(less & last)
+        more, less = (more << 1 | 1) & full, less << 1 & full
+        up, down, before = (less | ~(diagonal | more)) & full, more & diagonal, here
+    return distance
 
 
 @lru_cache(maxsize=500_000)
 def word_similarity(a: str, b: str) -> float:
-    """1 - (edits with swaps of neighbours) / longer length; an initial fits any word it begins."""
+    """1 - edits / longer length; an initial fits any word it begins."""
     if a == b:
         return 1.0
     if len(a) == 1 or len(b) == 1:
         return 0.85 if a[:1] == b[:1] else 0.0
-    before: list[int] = []
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        older, before, row = before, row, [i]
-        for j, y in enumerate(b, 1):
-            best = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, older[j - 2] + 1)
-            row.append(best)
-    return 1.0 - row[-1] / max(len(a), len(b))
+    return 1.0 - edits(a, b) / max(len(a), len(b))
 
 
 def label_similarity(a: list[str], b: list[str]) -> float | None:
@@ -132,81 +151,150 @@ def label_similarity(a: list[str], b: list[str]) -> float | None:
     return max(got / weight - 0.07 * len(rest) - (0.1 if len(short) == 1 and rest else 0), joined)
 
 
-def _date_evidence(a: str, b: str) -> float:
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 7.0
-    ya, yb, ra, rb = int(a[:4]), int(b[:4]), a[4:], b[4:]
-    if ra == rb:
-        return 2.5 if abs(ya - yb) in (1, 10, 100) or _one_edit(a[:4], b[:4]) else 1.5
-    if ya == yb and (ra == rb[2:] + rb[:2] or _one_edit(ra, rb)):
-        return 3.0
-    days = abs((ya - yb) * 372 + (int(ra[:2]) - int(rb[:2])) * 31 + int(ra[2:]) - int(rb[2:]))
-    if days > 31 and (abs(ya - yb) in (1, 10, 100) or _one_edit(a[:4], b[:4])):
-        apart = abs((int(ra[:2]) - int(rb[:2])) * 31 + int(ra[2:]) - int(rb[2:]))
-        return 0.5 if apart <= 5 else -6.0
-    return 2.5 if days <= 8 else 0.5 if days <= 31 else -6.0
-
-
-def _group_evidence(a: str, b: str, common: frozenset) -> float:
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 1.8 if a in common else 5.0
-    if a[-4:] == b[-4:] and (len(a) == 4 or len(b) == 4):
-        return 3.0
-    if a[-4:] == b[-4:] or _one_edit(a, b):
-        return 0.5
-    return -2.5
-
-
-def confidence(one: tuple[str, str, str], two: tuple[str, str, str], common: frozenset = frozenset()) -> float:
-    """Confidence in [0, 1] that two (label, day, code) are the same thing: a weighted sum on the log-odds scale."""
-    s = label_similarity(one[0].split(), two[0].split())
-    words = min(len(one[0].split()), len(two[0].split()))
-    if s is None:
-        label = 0.0
-    elif s >= 0.6:
-        label = min(7.5, 0.5 + 22.0 * (s - 0.6)) - (2.0 if words == 1 else 0.0)
-    else:
-        label = -7.0
-    odds = label + _date_evidence(one[1], two[1]) + _group_evidence(one[2], two[2], common) - PRIOR_ODDS
-    return 1.0 / (1.0 + math.exp(-odds))
+def _one_digit_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a != b).sum(axis=1) == 1
+
+
+def _date_evidence(one: dict, two: dict) -> np.ndarray:
+    """Log-odds from two columns of days; 0 where either is unknown."""
+    ya, yb, ma, mb, da, db = one["year"], two["year"], one["month"], two["month"], one["dom"], two["dom"]
+    same_year, same_rest = ya == yb, (ma == mb) & (da == db)
+    slip = np.isin(np.abs(ya - yb), (1, 10, 100)) | _one_digit_apart(one["digits"][:, :4], two["digits"][:, :4])
+    near = ((ma == db) & (da == mb)) | _one_digit_apart(one["digits"][:, 4:], two["digits"][:, 4:])
+    rest = (ma - mb) * 31 + da - db
+    days = np.abs((ya - yb) * 372 + rest)
+    out = np.select(
+        [same_year & same_rest, same_rest & slip, same_rest, same_year & near, (days > 31) & slip & (np.abs(rest) <= 5), (days > 31) & slip, days <= 8, days <= 31],
+        [7.0, 2.5, 1.5, 3.0, 0.5, -6.0, 2.5, 0.5], -6.0)
+    # a day that stands for an unknown one says nothing, whether it agrees or not
+    return np.where(one["has_day"] & two["has_day"], out * np.minimum(one["day_weight"], two["day_weight"]), 0.0)
+
+
+def _group_evidence(one: dict, two: dict) -> np.ndarray:
+    """Log-odds from two columns of group codes; 0 where either is blank."""
+    same, tail = one["code_id"] == two["code_id"], one["tail_id"] == two["tail_id"]
+    short = (one["code_len"] == 4) | (two["code_len"] == 4)
+    out = np.select([same, tail & short, tail], [one["code_gain"], 3.0, 0.5], -2.5)
+    k = np.flatnonzero(~same & ~tail & (one["code_len"] == two["code_len"]))
+    out[k[_one_digit_apart(one["chars"][k], two["chars"][k])]] = 0.5
+    return np.where((one["code_len"] > 0) & (two["code_len"] > 0), out, 0.0)
+
+
+def _label_evidence(a: str, b: str) -> float:
+    one, two = a.split(), b.split()
+    s = label_similarity(one, two)
+    if s < 0.6:
+        return -MOST_FROM_LABEL
+    return min(MOST_FROM_LABEL, 0.5 + 22.0 * (s - 0.6)) - (2.0 if min(len(one), len(two)) == 1 else 0.0)
+
+
+class Scorer:
+    """Confidence of pairs of (label, day, code) rows, column by column.
+
+    The weights of all fields add up on the log-odds scale.  Since a label gives at most
+    MOST_FROM_LABEL, pairs whose other fields fall short of the threshold by more are given up
+    before their labels are compared; this changes no result.  ``days`` holds the weights of days
+    that are too frequent to be true, ``codes`` the shares of frequent group codes; both bounded.
+    """
+
+    def __init__(self, days: dict[str, float], codes: dict[str, float]):
+        self.days, self.codes = days, codes
+
+    def columns(self, label: np.ndarray, day: np.ndarray, code: np.ndarray) -> dict:
+        """What comparisons need of each row."""
+        n = len(label)
+        has_day = day != ""
+        digits = np.frombuffer("".join(np.where(has_day, day, "00000000")).encode("ascii"), np.uint8).reshape(n, 8).astype(np.int16) - 48
+        codes, code_id = np.unique(code.astype(str), return_inverse=True)
+        gains = np.array([min(MOST_FROM_GROUP, -GROUP_GAIN * math.log(self.codes.get(c, 1e-9))) for c in codes])
+        _, tail_id = np.unique(np.array([c[-4:] for c in codes], str), return_inverse=True)
+        lengths = np.array([len(c) for c in codes], np.int64)
+        # as wide as the longest code of the batch; the widest are compared by what they begin with and their length
+        width = int(min(64, max(1, lengths.max(initial=1))))
+        chars = codes.astype(f"U{width}").view(np.uint32).reshape(len(codes), width)
+        weights = {d: self.days.get(d, 1.0) for d in set(day)}
+        bits = _signatures(label)
+        return {
+            "label": label, "no_label": label == "", "bits": bits, "size": np.bitwise_count(bits).sum(axis=1).astype(np.int64), "digits": digits, "has_day": has_day,
+            "year": digits[:, :4] @ np.array((1000, 100, 10, 1), np.int16), "month": digits[:, 4:6] @ np.array((10, 1), np.int16), "dom": digits[:, 6:] @ np.array((10, 1), np.int16), "day_weight": np.array([weights[d] for d in day]),
+            "chars": chars[code_id], "code_id": code_id, "tail_id": tail_id[code_id], "code_len": lengths[code_id], "code_gain": gains[code_id]}
+
+    def odds(self, columns: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Log-odds that rows ``i`` and ``j`` are the same thing; -inf where they cannot reach the threshold."""
+        pick = lambda at, names: {c: columns[c][at] for c in names}
+        dates = ("digits", "has_day", "year", "month", "dom", "day_weight")
+        groups = ("chars", "code_id", "tail_id", "code_len", "code_gain")
+        base = _date_evidence(pick(i, dates), pick(j, dates)) - PRIOR_ODDS
+        left = np.flatnonzero(base + MOST_FROM_GROUP + MOST_FROM_LABEL >= LEAST_ODDS)
+        base[base + MOST_FROM_GROUP + MOST_FROM_LABEL < LEAST_ODDS] = -np.inf
+        base[left] += _group_evidence(pick(i[left], groups), pick(j[left], groups))
+        none = columns["no_label"][i] | columns["no_label"][j]
+        out = np.where(none, base, -np.inf)
+        open_ = np.flatnonzero(~none & (base + MOST_FROM_LABEL >= LEAST_ODDS))
+        x, y = i[open_], j[open_]
+        shared = np.bitwise_count(columns["bits"][x] & columns["bits"][y]).sum(axis=1)
+        alike = 2 * shared >= LEAST_SHARED * (columns["size"][x] + columns["size"][y])
+        label = columns["label"]
+        seen: dict = {}
+        for k, a, b in zip(open_[alike], x[alike], y[alike]):
+            pair = (label[a], label[b])
+            if pair not in seen:
+                seen[pair] = _label_evidence(*pair)
+            out[k] = base[k] + seen[pair]
+        return out
+
+    def own_odds(self, columns: dict) -> np.ndarray:
+        """Log-odds of each row with an equal one."""
+        rows = np.arange(len(columns["label"]))
+        return self.odds(columns, rows, rows)
+
 
+def confidence(one: tuple[str, str, str], two: tuple[str, str, str], days: dict | None = None, codes: dict | None = None) -> float:
+    """Confidence in [0, 1] that two (label, day, code) are the same thing."""
+    scorer = Scorer(days or {}, codes or {})
+    columns = scorer.columns(*(np.array([one[k], two[k]], object) for k in range(3)))
+    return float(_confidence(scorer.odds(columns, np.array([0]), np.array([1])))[0])
 
-def _signature(label: str) -> tuple[int, ...]:
-    """256 bits with one set per pair of neighbouring letters, as four words."""
-    bits = [0, 0, 0, 0]
-    for i in range(len(label) - 1):
-        h = (ord(label[i]) * 131 + ord(label[i + 1]) * 31) & 255
-        bits[h >> 6] |= 1 << (h & 63)
-    return tuple(bits)
 
+def _confidence(odds: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return 1.0 / (1.0 + np.exp(-odds))
 
-def _compare(rows: pd.DataFrame, window: int, common: frozenset) -> pd.DataFrame:
-    """Scored pairs of rows up to ``window`` apart."""
+
+def _signatures(label: np.ndarray) -> np.ndarray:
+    """Per label 256 bits with one set per pair of neighbouring bytes, as four words."""
+    raw = [x.encode() for x in label]
+    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8).astype(np.int64)
+    sizes = np.array([len(x) + 1 for x in raw])
+    row = np.repeat(np.arange(len(raw)), sizes)
+    inside = np.ones(len(data), bool)
+    ends = np.cumsum(sizes) - 1
+    inside[ends] = False
+    inside[np.maximum(ends - 1, 0)] = False
+    at = np.flatnonzero(inside)
+    hit = np.zeros((len(raw), 256), bool)
+    hit[row[at], (data[at] * 131 + data[at + 1] * 31) & 255] = True
+    return np.packbits(hit, axis=1).view(np.uint64)
+
+
+def _compare(rows: pd.DataFrame, window: int, scorer: Scorer) -> pd.DataFrame:
+    """Scored pairs of rows up to ``window`` apart, each once with its greatest confidence."""
     n = len(rows)
-    label, day, code, cid = (rows[c].to_numpy() for c in ("label", "day", "code", "cid"))
-    sort_pass = rows["pass"].to_numpy()
-    bits = np.array([_signature(x) for x in label], np.uint64).reshape(n, 4)
-    size = np.bitwise_count(bits).sum(axis=1)
-    no_label = label == ""
-    found: list[tuple] = []
-    for k in range(1, min(window, n - 1) + 1):
-        one, two = slice(0, n - k), slice(k, n)
-        shared = np.bitwise_count(bits[one] & bits[two]).sum(axis=1)
-        dice = 2 * shared / np.maximum(size[one].astype(np.int64) + size[two], 1)
-        same_day = (day[one] == day[two]) & (day[one] != "")
-        same_code = (code[one] == code[two]) & (code[one] != "")
-        near = ((dice >= 0.6) | ((dice >= 0.35) & (same_day | same_code)) | ((no_label[one] | no_label[two]) & (same_day | same_code)))
-        near &= sort_pass[one] == sort_pass[two]
-        for i in np.flatnonzero(near):
-            j = i + k
-            c = confidence((label[i], day[i], code[i]), (label[j], day[j], code[j]), common)
-            if c >= THRESHOLD and cid[i] != cid[j]:
-                found.append((min(cid[i], cid[j]), max(cid[i], cid[j]), c))
-    return pd.DataFrame(found, columns=["c1", "c2", "conf"]).drop_duplicates(["c1", "c2"])
+    cid, sort_pass = rows["cid"].to_numpy(), rows["pass"].to_numpy()
+    columns = scorer.columns(*(rows[c].to_numpy() for c in ("label", "day", "code")))
+    i = np.concatenate([np.arange(n - k) for k in range(1, min(window, n - 1) + 1)] or [np.zeros(0, np.int64)])
+    j = np.concatenate([np.arange(k, n) for k in range(1, min(window, n - 1) + 1)] or [np.zeros(0, np.int64)])
+    return _scored(columns, cid, sort_pass, i, j, scorer)
+
+
+def _scored(columns: dict, cid: np.ndarray, sort_pass: np.ndarray, i: np.ndarray, j: np.ndarray, scorer: Scorer) -> pd.DataFrame:
+    fit = (sort_pass[i] == sort_pass[j]) & (cid[i] != cid[j])
+    i, j = i[fit], j[fit]
+    odds = scorer.odds(columns, i, j)
+    good = odds >= LEAST_ODDS
+    one, two = cid[i[good]], cid[j[good]]
+    found = pd.DataFrame({"c1": np.minimum(one, two), "c2": np.maximum(one, two), "conf": _confidence(odds[good])})
+    return found.drop_duplicates(["c1", "c2"])
 
 
 NEIGHBOUR_ROW = "pass int, sort_key string, cid long, label string, day string, code string"
@@ -224,7 +312,7 @@ def sort_keys(classes: DataFrame) -> DataFrame:
         F.when(has_label, F.concat_ws("|", reverse, "day", "code")),
         F.when(has_day, F.concat_ws("|", "day", "label", "code")),
         F.when(has_day & has_code, F.concat_ws("|", "day", "code", "label")),
-        F.when(has_code & has_label, F.concat_ws("|", "code", "label", "day")),
+        F.when(has_code, F.concat_ws("|", "code", "label", "day")),
         F.when(has_code & has_label, F.concat_ws("|", "code", reverse, "day")),
         F.when(has_label, F.concat_ws("|", longest, F.substring("day", 1, 4), "code", "label")),
         F.when(has_label & has_day, F.concat_ws("|", first, F.substring("day", 5, 4), F.substring("day", 1, 4), last)),
@@ -233,131 +321,171 @@ def sort_keys(classes: DataFrame) -> DataFrame:
     return classes.select(F.explode(entries).alias("e"), "cid", "label", "day", "code").select("e.*", "cid", "label", "day", "code")
 
 
-def sorted_neighbours(classes: DataFrame, n_classes: int, scratch: Scratch, common: frozenset, window: int = WINDOW, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+def sorted_neighbours(classes: DataFrame, n_classes: int, scratch: Scratch, scorer: Scorer, window: int = WINDOW, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
     """(c1, c2, conf): class pairs within a window of some sort order and at or above THRESHOLD.
 
-    Range partitions are compared by themselves; the ends of each partition, 2 * window rows, are
-    compared across its borders in a second step, so that the result does not depend on where
-    partitions begin.
+    Range partitions are compared by themselves.  The first and last ``window`` rows of each meet
+    at the borders: every border has a task-sized group of its own, to which a row goes that lies
+    less than a window before or behind it, so that the result does not depend on where partitions
+    begin, however short they are.
     """
     lanes = max(1, math.ceil(8 * n_classes / rows_per_partition))
     ordered = sort_keys(classes).repartitionByRange(lanes, "pass", "sort_key", "cid").sortWithinPartitions("pass", "sort_key", "cid")
-    edge_schema = "c1 long, c2 long, conf double, part int, pos int, pass int, cid long, label string, day string, code string"
+    edge_schema = "c1 long, c2 long, conf double, part int, pos int, size int, pass int, cid long, label string, day string, code string"
 
     def within(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        types = {"c1": pa.int64(), "c2": pa.int64(), "conf": pa.float64(), "part": pa.int32(), "pos": pa.int32(), "pass": pa.int32(),
+        types = {"c1": pa.int64(), "c2": pa.int64(), "conf": pa.float64(), "part": pa.int32(), "pos": pa.int32(), "size": pa.int32(), "pass": pa.int32(),
                  "cid": pa.int64(), "label": pa.string(), "day": pa.string(), "code": pa.string()}
 
         def out(rows: pd.DataFrame):
-            columns = [pa.array(rows[c].tolist(), t) if c in rows else pa.nulls(len(rows), t) for c, t in types.items()]
+            columns = [pa.array(rows[c].to_numpy(), t) if c in rows else pa.nulls(len(rows), t) for c, t in types.items()]
             return pa.RecordBatch.from_arrays(columns, names=list(types))
 
-        part, tail, seen = TaskContext.get().partitionId(), None, 0
+        part, tail, seen, head = TaskContext.get().partitionId(), None, 0, []
         for arrived in batches:
             batch = arrived.to_pandas()
             # the last rows of a batch are compared again with the next: one window, no more
             rows = batch if tail is None else pd.concat([tail, batch], ignore_index=True)
-            yield out(_compare(rows, window, common))
+            yield out(_compare(rows, window, scorer))
             if seen < window:
-                head = batch.head(window - seen)
-                yield out(head.assign(part=part, pos=np.arange(seen, seen + len(head))))
+                first = batch.head(window - seen)
+                head.append(first.assign(pos=np.arange(seen, seen + len(first))))
             seen += len(batch)
             tail = rows.tail(window).reset_index(drop=True)
-        if tail is not None and seen > window:
-            ends = tail.tail(min(window, seen - window))
-            yield out(ends.assign(part=part, pos=np.arange(seen - len(ends), seen)))
+        if tail is not None:
+            last = tail.tail(max(0, min(window, seen - window)))
+            ends = pd.concat([*head, last.assign(pos=np.arange(seen - len(last), seen))], ignore_index=True)
+            yield out(ends.assign(part=part, size=seen))
 
     both = scratch.keep(ordered.mapInArrow(within, edge_schema), "neighbours")
     inside = both.filter("c1 is not null").select("c1", "c2", "conf")
+    ends = both.filter("part is not null").select("part", "pos", "pass", "cid", "label", "day", "code")
+    # a row per partition, as the scheduler has them too
+    sizes = sorted((r["part"], r["size"]) for r in both.filter("pos = 0").select("part", "size").collect())
+    reach = classes.sparkSession.createDataFrame(_borders(sizes, window), "part int, border int, behind boolean, skip long")
+
+    def across(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("place").reset_index(drop=True)
+        place, behind = rows["place"].to_numpy(), rows["behind"].to_numpy()
+        i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(~behind), np.flatnonzero(behind), indexing="ij"))
+        close = place[j] - place[i] <= window
+        columns = scorer.columns(*(rows[c].to_numpy() for c in ("label", "day", "code")))
+        return _scored(columns, rows["cid"].to_numpy(), rows["pass"].to_numpy(), i[close], j[close], scorer)
+
+    # places are counted from the border: below 0 before it, from 0 behind it
+    meeting = ends.join(reach, "part").withColumn("place", F.col("pos") + F.col("skip")).filter(F.abs(F.col("place") + F.when(F.col("behind"), 1).otherwise(0)) <= window)
+    pairs = meeting.groupBy("border").applyInPandas(across, "c1 long, c2 long, conf double")
+    return inside.unionByName(pairs).groupBy("c1", "c2").agg(F.max("conf").alias("conf"))
+
+
+def _borders(sizes: list[tuple[int, int]], window: int) -> list[tuple[int, int, bool, int]]:
+    """(part, border, behind, skip): which borders the rows of a partition can reach, and their place there less their position.
+
+    A border is named by the partition behind it; ``sizes`` holds (part, rows) of non-empty ones.
+    """
+    out = []
+    for at, (part, _) in enumerate(sizes[1:], 1):
+        out.append((part, part, True, 0))
+        before, distance = at - 1, 0
+        while before >= 0 and distance < window:
+            earlier, rows = sizes[before]
+            distance += rows
+            out.append((earlier, part, False, -distance))
+            before -= 1
+    return out
+
+
+def certain_edges(edges: DataFrame) -> DataFrame:
+    """Edges that some assignment of greatest total holds: each outweighs the best others of both its ends together.
+
+    Taking such an edge costs at most one other edge an end, so nothing is lost.  Ties between two
+    such edges cannot arise: each would have to outweigh the other and more.
+    """
+    def others(side: str) -> DataFrame:
+        best = edges.groupBy(side).agg(F.max("conf").alias("top"))
+        # the weight of the second best: that of the best where two share it
+        per = edges.join(best, side).groupBy(side).agg(
+            F.max("top").alias("top"), F.count(F.when(F.col("conf") == F.col("top"), 1)).alias("n"), F.max(F.when(F.col("conf") < F.col("top"), F.col("conf"))).alias("next"))
+        return per.select(side, F.col("top").alias(f"{side}_top"), F.when(F.col("n") > 1, F.col("top")).otherwise(F.coalesce("next", F.lit(0.0))).alias(f"{side}_next"))
+
+    rows = edges.join(others("ea"), "ea").join(others("eb"), "eb")
+    best = (F.col("conf") == F.col("ea_top")) & (F.col("conf") == F.col("eb_top"))
+    return rows.filter(best & (F.col("conf") > F.col("ea_next") + F.col("eb_next"))).select("ea", "eb", "conf")
+
+
+#: Rounds in which certain edges are taken before the rest is solved; more would only change the speed.
+CERTAIN_ROUNDS = 2
 
-    def borders(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["part", "pos"]).reset_index(drop=True)
-        return _border_pairs(rows, window, common)
-
-    # 2 * window rows for each partition: bounded by the number of partitions, not of records
-    edges = both.filter("part is not null").select("part", "pos", "pass", "cid", "label", "day", "code")
-    across = edges.groupBy().applyInPandas(borders, "c1 long, c2 long, conf double")
-    return inside.unionByName(across).groupBy("c1", "c2").agg(F.max("conf").alias("conf"))
-
-
-def _border_pairs(rows: pd.DataFrame, window: int, common: frozenset) -> pd.DataFrame:
-    """Pairs between different partitions, of rows no more than ``window`` apart in the whole order."""
-    part = rows["part"].to_numpy()
-    pos = rows["pos"].to_numpy()
-    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-    # rows left out between the head and the tail of a partition still count as distance
-    place = np.zeros(len(rows), np.int64)
-    base = 0
-    for a, b in zip(starts, [*starts[1:], len(rows)]):
-        place[a:b] = base + pos[a:b]
-        base = place[b - 1] + 1
-    found = []
-    label, day, code, cid, sort_pass = (rows[c].to_numpy() for c in ("label", "day", "code", "cid", "pass"))
-    for i in range(len(rows)):
-        j = i + 1
-        while j < len(rows) and place[j] - place[i] <= window:
-            if part[i] != part[j] and sort_pass[i] == sort_pass[j] and cid[i] != cid[j]:
-                c = confidence((label[i], day[i], code[i]), (label[j], day[j], code[j]), common)
-                if c >= THRESHOLD:
-                    found.append((min(cid[i], cid[j]), max(cid[i], cid[j]), c))
-            j += 1
-    return pd.DataFrame(found, columns=["c1", "c2", "conf"])
-
-
-def assign_one_to_one(edges: DataFrame, scratch: Scratch, exact_edges: int = EXACT_EDGES) -> DataFrame:
+
+def assign_one_to_one(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows of ``edges(ea, eb, conf)`` in which no end occurs twice, of greatest total confidence.
 
-    Every component is solved exactly in one task: those of up to ``exact_edges`` edges over a
-    matrix, larger ones over their edges alone, in memory that grows with the edges.
+    Edges that outweigh all that they exclude are taken first, by joins and aggregates over all
+    edges at once; that also removes every other edge of their ends and so breaks up components.
+    What is left is solved component by component, exactly, over its edges alone, so that memory
+    grows with the edges of a component and never with the product of its sides.
     """
     edges = scratch.keep(edges, "edges")
+    taken = []
+    for n in range(CERTAIN_ROUNDS):
+        sure = scratch.keep(certain_edges(edges), f"certain-{n}")
+        taken.append(sure)
+        edges = scratch.keep(edges.join(sure.select("ea"), "ea", "left_anti").join(sure.select("eb"), "eb", "left_anti"), f"open-{n}")
     roots = hash_to_min(edges.select(F.col("ea").alias("a"), F.col("eb").alias("b")), scratch, "edge-roots")
     coloured = scratch.keep(edges.join(roots.withColumnRenamed("id", "ea"), "ea"), "coloured")
-    sizes = coloured.groupBy("root").count()
-    large = sizes.filter(F.col("count") > exact_edges).select("root")
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        parts: dict = {}
-        for r in group.itertuples(index=False):
-            parts.setdefault(r.root, []).append(r)
+    def solve(bucket: pd.DataFrame) -> pd.DataFrame:
+        bucket = bucket.sort_values(["ea", "eb"])
+        gain = {(a, b): c for a, b, c in bucket[["ea", "eb", "conf"]].itertuples(index=False, name=None)}
         chosen = []
-        for own in parts.values():
-            rows = sorted({r.ea for r in own})
-            columns = sorted({r.eb for r in own})
-            at_row, at_column = {x: i for i, x in enumerate(rows)}, {x: i for i, x in enumerate(columns)}
-            gain = np.zeros((len(rows), len(columns)))
-            for r in own:
-                gain[at_row[r.ea], at_column[r.eb]] = r.conf
-            chosen += [(rows[i], columns[j], gain[i, j]) for i, j in hungarian(gain)]
-        return pd.DataFrame(chosen, columns=["ea", "eb", "conf"])
-
-    single = sizes.filter("count = 1").select("root")
-    several = sizes.filter((F.col("count") > 1) & (F.col("count") <= exact_edges)).select("root")
-    alone = coloured.join(single, "root", "left_semi").select("ea", "eb", "conf")
-    # a task works through many small components in one batch of bounded size
-    buckets = max(edges.sparkSession.sparkContext.defaultParallelism, math.ceil(coloured.count() / 50_000))
-    exact = (coloured.join(several, "root", "left_semi").withColumn("bucket", F.pmod(F.xxhash64("root"), F.lit(buckets)))
-             .repartition(buckets, "bucket").groupBy("bucket").applyInPandas(solve, "ea long, eb long, conf double"))
-    out = alone.unionByName(exact)
-    if large.isEmpty():
-        return out
+        for _, own in bucket.groupby("root", sort=False):
+            chosen += sparse_assignment(list(own[["ea", "eb", "conf"]].itertuples(index=False, name=None)))
+        return pd.DataFrame([(a, b, gain[a, b]) for a, b in chosen], columns=["ea", "eb", "conf"])
+
+    # a task works through many small components in one batch; a large one has a task to itself
+    sizes = coloured.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    buckets = max(edges.sparkSession.sparkContext.defaultParallelism, math.ceil(coloured.count() / EDGES_PER_TASK))
+    dealt = coloured.join(sizes, "root").withColumn("bucket", F.when(F.col("n") > EDGES_PER_TASK, F.xxhash64("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(buckets))))
+    out = dealt.select("bucket", "root", "ea", "eb", "conf").groupBy("bucket").applyInPandas(solve, "ea long, eb long, conf double")
+    for sure in taken:
+        out = out.unionByName(sure)
+    return out
+
+
+def frequent_days(rows: DataFrame) -> dict[str, float]:
+    """Weights below 1 of days that occur too often to be true dates.
+
+    A day's share, less twice its standard error so that chance in small tables counts for nothing,
+    is set against that of a day of the usual range if all were alike; from DAY_EXCESS times on the
+    weight falls, to 0 at DAY_EXCESS squared.  Fewer than range / DAY_EXCESS days can be so.
+    """
+    days = rows.filter("day != ''")
+    low, high, n = days.agg(*[F.percentile_approx(F.unix_date(F.try_to_date("day", "yyyyMMdd")), q, 1000) for q in (0.005, 0.995)], F.count(F.lit(1))).first()
+    if not n or low is None:
+        return {}
+    excess = lambda c: (c - 2 * c ** 0.5) / n * (high - low + 1)
+    counts = days.groupBy("day").agg(F.count(F.lit(1)).alias("c"))
+    often = counts.filter((F.col("c") - 2 * F.sqrt("c")) / n * (high - low + 1) > DAY_EXCESS).collect()
+    return {r["day"]: max(0.0, 2.0 - math.log(excess(r["c"])) / math.log(DAY_EXCESS)) for r in often}
 
-    def solve_large(group: pd.DataFrame) -> pd.DataFrame:
-        gain = {(r.ea, r.eb): r.conf for r in group.itertuples(index=False)}
-        return pd.DataFrame([(i, j, gain[i, j]) for i, j in sparse_assignment([(*k, x) for k, x in gain.items()])], columns=["ea", "eb", "conf"])
 
-    return out.unionByName(coloured.join(large, "root", "left_semi").groupBy("root").applyInPandas(solve_large, "ea long, eb long, conf double"))
+def frequent_codes(rows: DataFrame) -> dict[str, float]:
+    """Shares of group codes that occur so often that agreement on them says less than MOST_FROM_GROUP; bounded by 1 / that share."""
+    codes = rows.filter("code != ''")
+    n = codes.count()
+    often = codes.groupBy("code").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > n * math.exp(-MOST_FROM_GROUP / GROUP_GAIN)).collect()
+    return {r["code"]: r["c"] / n for r in often}
 
 
 def match_sources(a: DataFrame, b: DataFrame, scratch: Scratch, spark: SparkSession) -> DataFrame:
     """(left_record_key, right_record_key, confidence): pairs of the same thing, all of its records.
 
     Inputs have record_key, label_value, date_value and group_value; other columns are ignored.
-    Rows without a key, or with fewer than two usable fields, match nothing.  Several rows of one
-    record are all compared; a source may be empty (no pairs).
+    Rows without a key, or without any usable field, match nothing; one field is enough to be
+    compared.  Several rows of one record are all compared; a source may be empty (no pairs).
     """
     normalised = F.pandas_udf(_normalised, "label string, day string, code string")
 
@@ -365,37 +493,29 @@ def match_sources(a: DataFrame, b: DataFrame, scratch: Scratch, spark: SparkSess
         return df.filter(F.col("record_key").isNotNull()).select(
             F.lit(name).alias("side"), "record_key", normalised("label_value", "date_value", "group_value").alias("n")).select("side", "record_key", "n.*")
 
-    rows = side(a, "a").unionByName(side(b, "b")).distinct()
-    rows = scratch.keep(rows, "sides")
-    # at most 1 / COMMON_DAY_SHARE values
-    days = rows.filter("day != ''")
-    often = [r[0] for r in days.groupBy("day").count().filter(F.col("count") > max(20, days.count() * COMMON_DAY_SHARE)).collect()]
-    rows = rows.withColumn("day", F.when(F.col("day").isin(often), "").otherwise(F.col("day"))).distinct()
-    usable = ((F.col("label") != "").cast("int") + (F.col("day") != "").cast("int") + (F.col("code") != "").cast("int")) >= 2
-    rows = scratch.keep(rows.filter(usable).select(
+    usable = (F.col("label") != "") | (F.col("day") != "") | (F.col("code") != "")
+    rows = side(a, "a").unionByName(side(b, "b")).filter(usable).distinct()
+    rows = scratch.keep(rows.select(
         "side", "record_key", "label", "day", "code", F.xxhash64("label", "day", "code").alias("cid"),
         F.xxhash64("side", "record_key").alias("rid")), "rows")
-    total = rows.count()
-    if not total:
-        return rows.select(F.col("record_key").alias("left_record_key"), F.col("record_key").alias("right_record_key"), F.lit(0.0).alias("confidence"))
-    # at most 1 / COMMON_GROUP_SHARE values
-    common = frozenset(r[0] for r in rows.filter("code != ''").groupBy("code").count().filter(F.col("count") > total * COMMON_GROUP_SHARE).collect())
+    scorer = Scorer(frequent_days(rows), frequent_codes(rows))
     classes = scratch.keep(rows.groupBy("cid").agg(
         *[F.first(c).alias(c) for c in ("label", "day", "code")],
-        F.min(F.when(F.col("side") == "a", F.col("rid"))).alias("ra"), F.min(F.when(F.col("side") == "b", F.col("rid"))).alias("rb")), "classes")
-    near = scratch.keep(sorted_neighbours(classes, classes.count(), scratch, common), "near")
+        F.min(F.when(F.col("side") == "a", F.col("rid"))).alias("ra"), F.min(F.when(F.col("side") == "b", F.col("rid"))).alias("rb"), F.count(F.lit(1)).alias("n")), "classes")
+    near = scratch.keep(sorted_neighbours(classes, classes.count(), scratch, scorer), "near")
 
     ends = classes.select("cid", "ra", "rb")
     paired = scratch.keep(near.join(ends.toDF("c1", "a1", "b1"), "c1").join(ends.toDF("c2", "a2", "b2"), "c2"), "paired")
     strong = paired.filter(F.col("conf") >= INTRA_THRESHOLD)
-    inner = (rows.join(ends, "cid").select(F.col("rid").alias("a"), F.when(F.col("side") == "a", F.col("ra")).otherwise(F.col("rb")).alias("b"))
+    hot = hot_keys(classes, "cid", rows.count())
+    inner = (join_unique(rows, ends, "cid", hot).select(F.col("rid").alias("a"), F.when(F.col("side") == "a", F.col("ra")).otherwise(F.col("rb")).alias("b"))
              .unionByName(strong.select(F.col("a1").alias("a"), F.col("a2").alias("b")))
              .unionByName(strong.select(F.col("b1").alias("a"), F.col("b2").alias("b"))))
     things = scratch.keep(hash_to_min(inner.distinct(), scratch, "things"), "thing-roots")
 
     @F.pandas_udf("double")
     def own(label: pd.Series, day: pd.Series, code: pd.Series) -> pd.Series:
-        return pd.Series([confidence(x, x, common) for x in zip(label, day, code)])
+        return pd.Series(_confidence(scorer.own_odds(scorer.columns(*(x.to_numpy() for x in (label, day, code))))))
 
     same = classes.filter("ra is not null and rb is not null").select("ra", "rb", own("label", "day", "code").alias("conf"))
     cross = (same.unionByName(paired.select(F.col("a1").alias("ra"), F.col("b2").alias("rb"), "conf"))

@@ -47,8 +47,8 @@ def test_windows_do_not_depend_on_partitions(spark):
         label, day, code = f"{word()} {word()}", f"19{r.randint(30, 99)}{r.randint(1, 12):02d}{r.randint(1, 28):02d}", f"QU{r.randint(0, 50):04d}"
         rows += [(2 * i, label, day, code), (2 * i + 1, label[:-1] + "x", day, code)]
     classes = spark.createDataFrame(rows, "cid long, label string, day string, code string")
-    runs = [{tuple(x) for x in M.sorted_neighbours(classes, len(rows), Scratch(spark, "t"), frozenset(), window=5, rows_per_partition=n).select("c1", "c2").collect()} for n in (100_000, 400, 60)]
-    assert runs[0] == runs[1] == runs[2] and len({(2 * i, 2 * i + 1) for i in range(400)} & runs[0]) == 400
+    runs = [{tuple(x) for x in M.sorted_neighbours(classes, len(rows), Scratch(spark, "t"), M.Scorer({}, {}), window=5, rows_per_partition=n).collect()} for n in (100_000, 400, 60)]
+    assert runs[0] == runs[1] == runs[2] and len({(2 * i, 2 * i + 1) for i in range(400)} & {x[:2] for x in runs[0]}) == 400
 
 
 def test_hungarian_is_best():
@@ -62,19 +62,68 @@ def test_hungarian_is_best():
         assert got == pytest.approx(max(sum(full[i, p[i]] for i in range(size)) for p in itertools.permutations(range(size))))
 
 
-def test_large_components_are_matched_without_gathering(spark):
+def best_total(edges):
+    rows, columns = sorted({a for a, _ in edges}), sorted({b for _, b in edges})
+    gain = np.zeros((len(rows), len(columns)))
+    for (a, b), c in edges.items():
+        gain[rows.index(a), columns.index(b)] = c
+    return sum(gain[x] for x in hungarian(gain))
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 2])
+def test_assignment_has_greatest_total(spark, monkeypatch, rounds):
+    monkeypatch.setattr(M, "CERTAIN_ROUNDS", rounds)
     r = random.Random(2)
-    edges = list({(r.randint(0, 30), 100 + r.randint(0, 30)): r.random() for _ in range(200)}.items())
-    df = spark.createDataFrame([(a, b, c) for (a, b), c in edges], "ea long, eb long, conf double")
-    exact = M.assign_one_to_one(df, Scratch(spark, "t")).collect()
-    greedy = M.assign_one_to_one(df, Scratch(spark, "t"), exact_edges=10).collect()
-    for out in (exact, greedy):
-        assert len({x["ea"] for x in out}) == len(out) == len({x["eb"] for x in out})
-    assert sum(x["conf"] for x in exact) >= sum(x["conf"] for x in greedy) >= 0.5 * sum(x["conf"] for x in exact)
+    edges = {(r.randint(0, 30), 100 + r.randint(0, 30)): round(r.random() ** 3, 2) + .01 for _ in range(90)}
+    edges |= {(a + 100, b + 100): .5 + .5 * r.random() for a, b in list(edges)[:40]}
+    df = spark.createDataFrame([(a, b, c) for (a, b), c in edges.items()], "ea long, eb long, conf double")
+    out = M.assign_one_to_one(df, Scratch(spark, "t")).collect()
+    assert len({x["ea"] for x in out}) == len(out) == len({x["eb"] for x in out})
+    assert all(edges[x["ea"], x["eb"]] == x["conf"] for x in out)
+    assert sum(x["conf"] for x in out) == pytest.approx(best_total(edges))
 
 
-def test_large_components_have_greatest_total(spark):
+def test_certain_edges_leave_contests_open(spark):
     # the best edge blocks two that together weigh more
-    edges = spark.createDataFrame([(1, 1, .90), (1, 2, .89), (2, 1, .89), (3, 2, .5)], "ea long, eb long, conf double")
-    got = M.assign_one_to_one(edges, Scratch(spark, "t"), exact_edges=2).collect()
-    assert {(r["ea"], r["eb"]) for r in got} == {(1, 2), (2, 1)}
+    df = spark.createDataFrame([(1, 1, .90), (1, 2, .89), (2, 1, .89), (3, 2, .5), (7, 7, .9), (7, 8, .5), (8, 7, .3), (9, 9, .4), (9, 10, .4)], "ea long, eb long, conf double")
+    assert M.certain_edges(df).collect() == [(7, 7, .9)]
+    got = M.assign_one_to_one(df, Scratch(spark, "t")).collect()
+    assert {(r["ea"], r["eb"]) for r in got} >= {(1, 2), (2, 1), (7, 7)} and len(got) == 4
+    assert M.assign_one_to_one(df.limit(0), Scratch(spark, "t")).collect() == []
+
+
+def test_borders_reach_over_short_partitions():
+    assert M._borders([(0, 9), (1, 2), (4, 1), (5, 9)], 5) == [
+        (1, 1, True, 0), (0, 1, False, -9), (4, 4, True, 0), (1, 4, False, -2), (0, 4, False, -11), (5, 5, True, 0), (4, 5, False, -1), (1, 5, False, -3), (0, 5, False, -12)]
+    assert M._borders([], 5) == [] == M._borders([(3, 4)], 5)
+
+
+def test_one_field_is_compared_too(spark):
+    got = match(spark, [("a1", "pusbaim flirkour", None, None), ("a2", "lone", "", " ")], [("b1", "flirkour pusbaim", "", None), ("b2", None, "1990-01-01", None), ("b3", "lone", None, None)])
+    assert set(got) == {("a1", "b1")}  # one word alone is too little
+
+
+def test_edits_against_a_table():
+    def table(a, b):
+        before, row = [], list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            older, before, row = before, row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y)))
+                if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                    row[-1] = min(row[-1], older[j - 2] + 1)
+        return row[-1]
+
+    r = random.Random(1)
+    words = ["".join(r.choice("abc") for _ in range(r.randint(0, 9))) for _ in range(120)]
+    assert all(M.edits(a, b) == table(a, b) for a in words for b in words)
+
+
+def test_weights_of_frequent_values(spark):
+    rows = [("d", f"{1950 + i % 50}{1 + i % 12:02d}{1 + i % 28:02d}", f"c{i}") for i in range(2000)] + [("d", "19000101", "big")] * 200
+    df = spark.createDataFrame(rows, "label string, day string, code string")
+    assert M.frequent_days(df) == {"19000101": 0.0} and M.frequent_codes(df) == {"big": 200 / 2200}
+    assert M.frequent_days(df.limit(0)) == {} == M.frequent_codes(df.limit(0))
+    one = ("alpha beta", "19000101", "")
+    assert M.confidence(one, one, {"19000101": 0.0}) < .6 < .99 < M.confidence(one, one)
+    assert M.confidence(("", "", "x"), ("", "", "x")) < .1
