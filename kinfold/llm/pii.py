@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 from functools import lru_cache
 from pathlib import Path
@@ -25,7 +26,7 @@ KINDS = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 MODEL_FILE = Path(__file__).with_name("pii_model.json")
 
 _UP = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĖĘĚĞĢĪĮİĶĹĻĽŁŃŅŇŐŒŔŘŚŞŠŢŤŪŮŰŲŹŻŽ"
-_WORD = rf"[{_UP}][^\W\d_]+(?:['’][^\W\d_]+)?"
+_WORD = rf"[{_UP}](?:['’][{_UP}])?[^\W\d_]+(?:['’][^\W\d_]+)?"
 _PARTICLES = "van der|van den|van|von der|von|de la|de|der|den|af|av|di|da|del|du|ten|ter"
 _PARTICLE = rf"(?:(?:{_PARTICLES}|{_PARTICLES.upper()}) )"
 _AT = r"(?:@|%40|&#64;|&#x40;|&commat;|\\u0040|\\x40| ?[\[({<](?:at|AT|@)[\])}>] ?| (?:AT|at) )"
@@ -39,15 +40,15 @@ _AT_HERE = re.compile(rf"{_AT}(?P<host>[\w\-]+(?:{_DOT}[\w\-]+)*)")
 # Generators in two steps: a start that can be searched for quickly (it begins with a plain set of
 # characters), then the whole form from there.
 _PHONE_START = re.compile(r"[+(\d](?<![\w.#/:\-+][+(\d])(?=[\d ()./\-+]{7})")
-_PHONE = re.compile(r"(?:\+\d{1,3}[ .\-]?)?(?:\(\d{1,4}\)[ .\-]?)?\d{1,13}(?:[ ./\-]\d{2,7}){0,6}(?:(?: ?x ?| ?[eE]xt\.? ?)\d{1,5})?(?![\w\-/]|\.\d)")
-_ID_START = re.compile(r"[A-Z\d](?<![\w.\-/+][A-Z\d])(?=[A-Z\d\- +]{7})")
+_PHONE = re.compile(r"(?:\+\d{1,3}[ .\-]?)?(?:\(\d{1,4}\)[ .\-]?)?\d{1,13}(?:[ ./\-]\d{2,8}){0,6}(?:(?: ?x ?| ?[eE]xt\.? ?)\d{1,5})?(?![\w\-/]|\.\d)")
+_ID_START = re.compile(r"[A-Z\d](?<![\w.\-/+][A-Z\d])(?=[A-Z\d\- +.]{7})")
 _IDS = re.compile(
-    r"(?:\d{3}[- ]\d{2}[- ]\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|\d{2} \d{3} \d{3} \d{3}|\d{11}|[A-Z]{1,2}\d{6,9}|[A-Z]{4,5}\d{5,8}[A-Z]{1,3}\d{0,2}[A-Z]{0,3}"
-    r"|\d{6}[-+]\d{4}|[A-Z]{2}\d{4}-\d{5}-[A-Z]|[A-Z]{2,5}-\d{4,8}|\d{2,4}-\d{2,3}-\d{4})(?![\w\-/+]|\.\d)")
-_STREET_WORDS = r"(?:Road|Street|Avenue|Lane|Close|Row|Way|Drive|Boulevard|Court|Square|Terrace|Place)\b|(?:Ave|Blvd|Rd|St|Dr)\b\.?"
+    r"(?:\d{3}[- ]\d{2}[- ]\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|\d{2} \d{3} \d{3} \d{3}|\d{4} \d{4} \d{4}|\d{3}\.\d{3}\.\d{3}-\d{2}|\d{11}|\d{9}|\d{8}[A-Z]|[A-Z]{1,2}\d{6,9}"
+    r"|[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z]|[A-Z]{4,5}\d{5,8}[A-Z]{1,3}\d{0,2}[A-Z]{0,3}|\d{6}[-+]\d{4}|[A-Z]{2}\d{4}-\d{5}-[A-Z]|[A-Z]{1,5}-\d{4,8}|\d{2,4}-\d{2,3}-\d{4})(?![\w\-/+]|\.\d| \d{4})")
+_STREET_WORDS = r"(?:(?:Road|Street|Avenue|Lane|Close|Row|Way|Drive|Boulevard|Court|Square|Terrace|Place)\b|(?:Ave|Blvd|Rd|St|Dr)\b\.?)(?: (?:NW|NE|SW|SE|N|S|E|W)\b)?"
 _NUMBER_STREET = (
     rf"(?:\d{{1,5}}[a-zA-Z]? (?:{_WORD} ){{1,2}}(?:{_STREET_WORDS})"
-    rf"|\d{{1,5}}(?: (?:bis|ter))? (?:rue|avenue|boulevard|place|chemin|impasse|allée|quai)(?: (?:de la|de|du|des|la|le))? {_WORD}(?:-{_WORD})?)")
+    rf"|\d{{1,5}}(?: (?:bis|ter))? (?:rue|avenue|boulevard|place|chemin|impasse|allée|quai)(?: (?:de la|de|du|des|la|le))? {_WORD}(?:[ -]{_WORD}){{0,2}})")
 _NUMBER_START = re.compile(rf"\d(?<![\w.]\d)\d{{0,4}}(?:[a-zA-Z]? (?=[{_UP}])|(?: (?:bis|ter))? (?=rue|ave|bou|pla|che|imp|all|qua))")
 _NAMED_STREET = (
     rf"(?:[{_UP}][^\W\d_]+(?:straße|strasse|str\.|gasse|weg|platz|allee|vägen|gatan|gata|väg|laan|straat|STRASSE|VÄGEN) \d{{1,4}}[a-zA-Z]?"
@@ -58,22 +59,22 @@ _POSTCODE = r"(?:\d{4,5}|[A-Z]{1,2}\d{1,2}[A-Z]? \d[A-Z]{2}|[A-Z]{2} \d{5})"
 _TOWN = rf"(?:{_POSTCODE} )?{_WORD}(?:[ -]{_WORD})?"
 _REST = (
     rf"(?P<unit>{_UNIT})?"
-    rf"(?:(?P<town>, (?:{_TOWN} {_POSTCODE}|{_POSTCODE} {_WORD}(?:[ -]{_WORD})?|{_WORD}))|(?P<line>,?[ \t]*\r?\n{_LEADER}(?:{_WORD}(?: {_WORD})? {_POSTCODE}|{_POSTCODE} {_WORD})))?(?![\w])")
+    rf"(?:(?P<state>, {_WORD}(?:[ -]{_WORD}){{0,2}}, [A-Z]{{2}} \d{{5}}(?:-\d{{4}})?)|(?P<town>, (?:{_TOWN} {_POSTCODE}|{_POSTCODE} {_WORD}(?:[ -]{_WORD})?|(?P<short>{_WORD})(?:[ -]{_WORD})?))|(?P<line>,?[ \t]*\r?\n{_LEADER}(?:{_WORD}(?: {_WORD})? {_POSTCODE}|{_POSTCODE} {_WORD})))?(?![\w])")
 _NUMBER_ADDRESS = re.compile(rf"(?P<street>{_NUMBER_STREET}){_REST}")
 _NAMED_ADDRESS = re.compile(rf"(?P<street>{_NAMED_STREET}){_REST}")
 _TITLE = r"(?!(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sir|Dear)\b)"
 _HY = rf"{_WORD}(?:-{_WORD})?"
-_NAME_START = re.compile(rf"[{_UP}](?<![\w@.\-/\\$][{_UP}])(?:\. ?|[^\W\d_]+(?:['’-][^\W\d_]+)*,? )(?=[{_UP}]|{_PARTICLE})")
+_NAME_START = re.compile(rf"[{_UP}](?<![\w@.\-/\\$][{_UP}])(?:\. ?|(?:['’][^\W\d_])?[^\W\d_]+(?:['’-][^\W\d_]+)*,? )(?=[{_UP}]|{_PARTICLE})")
 _PARTICLE_START = re.compile(rf" (?=(?:{_PARTICLES}) {_WORD}(?:-{_WORD})?, [{_UP}])")
 _NAME = re.compile(
     rf"(?:{_TITLE}(?:[{_UP}]\. (?:[{_UP}]\. )?{_PARTICLE}?{_HY}|{_HY},? (?:[{_UP}]\.? )?{_PARTICLE}?{_HY})|{_PARTICLE}{_HY}, {_HY})(?![\w@])")
 
-_NAME_CUES = ("author", "autor", "signed-off-by", "written by", "maintainer", "original version by", "reviewed with", "reported by", "suggested by", "thanks to", "fix from", "gemeldet von", "ask", "owner", "todo(", "customer", "failed for", "fullname", "name", "contact", "copyright", "by", "from", "to", "for")
+_NAME_CUES = ("author", "autor", "signed-off-by", "written by", "maintainer", "original version by", "reviewed with", "reported by", "suggested by", "thanks to", "patch from", "gemeldet von", "ask", "owner", "todo(", "fixme(", "customer", "client", "user", "fullname", "name", "contact", "copyright", "meeting with", "spoke to", "reach", "i am", "this is", "mr", "mrs", "dr.", "prof", "herr", "frau", "mme", "by", "from", "to", "for", "with")
 _PHONE_CUES = ("tel", "phone", "call", "pager", "mobile", "desk", "fax", "ring")
-_ID_CUES = ("ssn", "social", "nino", "ni number", "tax", "steuer", "passport", "licence", "license", "driving", "personnummer", "national", "staff", "employee", "id ")
-_ADDRESS_CUES = ("address", "office", "anschrift", "post", "ship", "lives", "at ", "to ", ";", '"')
-_CODE_CUES = ("build", "crc", "fraction", "range", "ticket", "chunk", "table", "version", "needs", "import", "listening", "git clone", "://", "insert", "alter", "select", "update", "0x", "generated", "schema", "class", "public", "func", "on 2")
-_GROUP_WORDS = ("contributors", "authors", "team", "project", "foundation", "inc", "ltd", "gmbh", "labs", "group", "licence", "license", "terms", "grant", "slots", "keeps")
+_ID_CUES = ("ssn", "social", "nino", "ni number", "tax", "steuer", "passport", "licence", "license", "driving", "personnummer", "national", "staff", "employee", "personnel", "identity", "itin", "cpf", "aadhaar", "codice", "pesel", "bsn", "cpr", "id ")
+_ADDRESS_CUES = ("address", "office", "anschrift", "adresse", "post", "ship", "deliver", "lives", "moved", "at ", "to ", ";", '"')
+_CODE_CUES = ("build", "crc", "fraction", "range", "ticket", "chunk", "table", "version", "needs", "import", "listening", "git clone", "://", "insert", "alter", "select", "update", "0x", "generated", "schema", "class", "public", "func", "on 2", "iban", "account", "card", "isbn", "uuid", "range", "rows", "issue", "serial", "checksum")
+_GROUP_WORDS = ("contributors", "authors", "team", "project", "foundation", "inc", "ltd", "gmbh", "labs", "group", "licence", "license", "developers", "community", "corporation", "consortium", "university", "institute", "maintainers")
 
 
 @dataclass(frozen=True)
@@ -120,7 +121,9 @@ def candidates(text: str) -> list[Candidate]:
     for starts, form in ((_NUMBER_START, _NUMBER_ADDRESS), (_NAMED_START, _NAMED_ADDRESS)):
         for s in starts.finditer(text):
             if m := form.match(text, s.start()):
-                ends = {m.end("street"), m.end("unit"), m.end("town"), m.end("line")} - {-1}
+                ends = {m.end("street"), m.end("unit"), m.end("state"), m.end("town"), m.end("short"), m.end("line")} - {-1}
+                if m["street"][-1] == ".":
+                    ends.add(m.end("street") - 1)
                 out += [Candidate(3, m.start(), e) for e in sorted(ends)]
     at = 0
     while s := _NAME_START.search(text, at):
@@ -196,17 +199,21 @@ def features(text: str, c: Candidate, given: frozenset, family: frozenset) -> li
                 float(text[c.end:c.end + 1] == ":" and text[c.end + 1:c.end + 2].strip() != ""), float(bool(re.search(r"[/:][^\s@]*$", before)) and "mailto:" not in before[-8:]), float("@" in span)]
     elif c.kind == 3:
         following = text[c.end:c.end + 60]
-        row += [float(bool(re.match(rf"(?:{_UNIT}|, {_WORD}|, \d{{4,5}} [{_UP}])", following))), float(bool(re.match(rf",?[ \t]*\r?\n{_LEADER}(?:{_WORD} {_POSTCODE})", following))),
+        row += [float(bool(re.match(rf"(?:{_UNIT}|, {_WORD}|, \d{{4,5}} [{_UP}])", following))), float(bool(re.match(rf",?[ \t]*\r?\n{_LEADER}(?:{_WORD}(?: {_WORD})? {_POSTCODE}\b|{_POSTCODE} {_WORD})", following))),
                 float(bool(re.search(rf"{_POSTCODE}", span[8:]))), float(span[:1] == "P"), float(span.count(",")), 0.0]
     elif c.kind == 4:
         first = names[0] if names else ""
         last = names[-1] if names else ""
         row += [float(any(n in given for n in names)), float(any(n in family for n in names)), float(first in given) + float(last in family),
-                float(first in family) + float(last in given), float(bool(re.match(r".\.", span))), float(bool(re.search(r"\b(?:SELECT|FROM|TABLE|INTO|VALUES|ADD|COLUMN|WHERE|ALTER|INSERT|DO|NOT|EDIT|BEGIN|END|KEY|FAKE|SAMPLE|SET|INTEGER)\b", span)))]
+                float(first in family) + float(last in given), float(bool(re.match(r".\.", span))), float(bool(re.search(r"\b(?:SELECT|FROM|TABLE|INTO|VALUES|ADD|COLUMN|WHERE|ALTER|INSERT|DO|NOT|EDIT|BEGIN|END|KEY|PRIVATE|PUBLIC|SET|INTEGER|PRIMARY|CREATE)\b", span)))]
     else:
         row += [float(sum(map(ord, re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", span)))) % 97), float(letters > 0), float(span[-1:].isalpha()), float(span[:1].isalpha()), 0.0, 0.0]
     # how the line begins: a bare line, a comment or code
     row += [float(len(before)), float(bool(re.match(r"\s*(?:/[/*]|#|\*|--|-|\"|$)", text[line_start:line_start + 12]))), float(len(words)), float(min((len(w) for w in plain), default=0))]
+    # what follows: a number, a dash rule, a word in lower case, or a verb in the third person
+    row += [float(bool(re.match(r" v?\d", after))), float(after.startswith("---") or before.endswith("---")), float(bool(re.match(r" [a-z]", after))), float(bool(re.match(r" (?:wrote|said|asked|will|joined|left|has|is|was|lives|moved|works)\b|: ", after))),
+            float(bool(re.search(r"(?:^|[.!?] )$", before.lstrip("/#*-;<! \t\"'")))), float(bool(re.search(r"(?:\d[ -]?){4}$", before))), float(bool(re.match(r"[ -]?\d", after))),
+            float(bool(re.search(r"(?:©|\(c\)|copyright)[ ,\d\-]*$", low)))]
     return row
 
 
@@ -243,11 +250,13 @@ def find_spans(texts: list[str | None], given: frozenset, family: frozenset, mod
                 kept[i].append((p, c))
     out = []
     for spans in kept:
+        # kept spans lie apart, so only the neighbours in order of position can overlap a further one
         chosen: list[tuple[int, int, int]] = []
         for _, c in sorted(spans, key=lambda s: (-round(s[0], 3), s[1].start - s[1].end, s[1].start, s[1].kind)):
-            if all(c.end <= s or c.start >= e for s, e, _ in chosen):
-                chosen.append((c.start, c.end, c.kind))
-        out.append(sorted(chosen))
+            at = bisect_left(chosen, (c.start,))
+            if (at == len(chosen) or c.end <= chosen[at][0]) and (at == 0 or chosen[at - 1][1] <= c.start):
+                chosen.insert(at, (c.start, c.end, c.kind))
+        out.append(chosen)
     return out
 
 
