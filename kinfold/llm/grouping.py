@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm.components import build_vertices, groups_by_smallest, hash_to_min, vertex_id
@@ -107,32 +107,42 @@ def rendezvous(unit: Column, weights: dict[str, float], seed: int) -> Column:
     Each partition gets units in proportion to its weight, and changing one weight moves only the
     units that this partition gains or loses.
     """
+    return F.array_min(_scores(unit, weights, seed)).getField("name")
+
+
+def _scores(unit: Column, weights: dict[str, float], seed: int) -> Column:
     scores = []
     for name, weight in sorted(weights.items()):
         if weight > 0:
             u = (F.pmod(F.xxhash64(F.lit(seed), unit, F.lit(name)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
             scores.append(F.struct((-F.log(u) / weight).alias("score"), F.lit(name).alias("name")))
-    return F.array_min(F.array(*scores)).getField("name")
+    return F.array(*scores)
+
+
+def _ranking(unit: Column, weights: dict[str, float], seed: int) -> Column:
+    """Partitions in the order in which a unit prefers them."""
+    return F.transform(F.array_sort(_scores(unit, weights, seed)), lambda s: s.getField("name"))
 
 
 def assign_splits(units: DataFrame, fractions: dict[str, float], scratch: Scratch, seed: int = 17) -> DataFrame:
     """(pair_digest, unit_digest, partition_name): whole units, fractions met over pairs.
 
-    Units of a LARGE_UNIT_SHARE of all pairs and more, at most 500, are placed first, largest
-    first, each by rendezvous among the partitions that still have room for it (the roomiest if
-    none has).  Weights of the partitions for all other units are what is then left of their
-    fractions, corrected by the shares that a trial with them reaches, since units are of unequal
-    size.  The same input always gives the same assignment.
+    Every unit ranks the partitions by the same rendezvous score and takes the first.  Units of a
+    LARGE_UNIT_SHARE of all pairs and more, at most 500, are placed first, largest first, and pass
+    over partitions that have no room for them (the roomiest takes what fits nowhere).  For all
+    other units the weights are corrected by the shares that a trial with them reaches, since units
+    are of unequal size and large ones have taken their part.  So a unit that grows past the limit
+    moves only if its partition lacks room or weights had to be corrected.  The same input always
+    gives the same assignment.
     """
     units = scratch.keep(units, "units")
     total = units.count()
     large = (units.filter(F.col("size") >= max(2, math.ceil(total * LARGE_UNIT_SHARE)))
-             .filter(F.col("unit_digest") == F.col("pair_digest")).select("unit_digest", "size").collect())
+             .filter(F.col("unit_digest") == F.col("pair_digest")).select("unit_digest", "size", _ranking(F.col("unit_digest"), fractions, seed).alias("ranking")).collect())
     left = {name: share * total for name, share in fractions.items()}
     placed: dict[str, str] = {}
-    for unit, size in sorted(large, key=lambda r: (-r[1], r[0])):
-        room = {n: v for n, v in left.items() if v >= size}
-        name = _pick(unit, room, seed) if room else max(sorted(left), key=left.get)
+    for unit, size, ranking in sorted(large, key=lambda r: (-r[1], r[0])):
+        name = next((n for n in ranking if left[n] >= size), max(sorted(left), key=left.get))
         placed[unit] = name
         left[name] -= size
     rest = {n: max(v, 0.0) for n, v in left.items()}
@@ -162,11 +172,14 @@ def _corrected(units: DataFrame, want: dict[str, float], seed: int, trials: int
     return best[1]
 
 
-def _pick(unit: str, room: dict[str, float], seed: int) -> str:
-    import xxhash
-
-    def score(name: str) -> float:
-        h = xxhash.xxh64_intdigest(f"{seed}\x00{unit}\x00{name}".encode()) % (1 << 52)
-        return -math.log((h + 1) / ((1 << 52) + 1)) / room[name]
+def split_shares(assigned: DataFrame, fractions: dict[str, float], spark: SparkSession) -> DataFrame:
+    """(partition_name, fraction, pairs, share, units, largest_unit, largest_share): what a split reached, a row per partition.
 
-    return min(sorted(room), key=score)
+    Partitions without any pair are there too, with zeros.
+    """
+    units = assigned.groupBy("partition_name", "unit_digest").agg(F.count(F.lit(1)).alias("n"))
+    got = units.groupBy("partition_name").agg(F.sum("n").alias("pairs"), F.count(F.lit(1)).alias("units"), F.max("n").alias("largest_unit"))
+    config = spark.createDataFrame(sorted(fractions.items()), "partition_name string, fraction double")
+    rows = config.join(got, "partition_name", "left").na.fill(0)
+    total = F.greatest(F.sum("pairs").over(Window.partitionBy()), F.lit(1))  # a row per partition
+    return rows.select("partition_name", "fraction", "pairs", (F.col("pairs") / total).alias("share"), "units", "largest_unit", (F.col("largest_unit") / total).alias("largest_share"))

@@ -4,8 +4,9 @@ Within a source, texts are drawn by exponential keys ``-ln(u) / w``: smallest ke
 weighted sampling without replacement, w being the text's quality.  A source that must give more
 tokens than it has is used in complete epochs first; only the rest is a selection.
 
-Prefix sums over a source never pass through one task: keys fall into buckets whose order is the
-order of the keys, bucket sums are added up first, and exact prefix sums run within buckets.
+Prefix sums over a source never pass through one task: texts are range-partitioned by source and
+key, so that buckets are about equal whatever the weights are; bucket sums are added up first, and
+exact prefix sums run within buckets.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 
 from kinfold.session import Scratch
 
-ROWS_PER_BUCKET = 5_000
+#: Texts a range partition should have, and the most partitions: beyond, they grow, and their sorts spill.
+ROWS_PER_BUCKET = 50_000
+MOST_BUCKETS = 20_000
 
 
 def source_name(source: Column) -> Column:
@@ -63,17 +66,15 @@ def mix_sources(documents: DataFrame, plans: list[tuple], scratch: Scratch, spar
     own = source_name(F.col("source"))
     drawn = documents.filter("n_tokens > 0").select("item", "doc_id", own.alias("source"), "n_tokens", "quality").filter(F.col("source").isin(named))
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
-    drawn = scratch.keep(drawn.withColumn("key", -F.log(u) / F.greatest("quality", F.lit(1e-3))), "drawn")
-    sums = drawn.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n"), F.avg("quality").alias("w")).collect()
-    available = {r["source"]: r["tokens"] for r in sums}
-    rows = sum(r["n"] for r in sums)
-    rate = sum(r["n"] * r["w"] for r in sums) / rows if rows else 1.0
+    buckets = max(spark.sparkContext.defaultParallelism, min(MOST_BUCKETS, documents.count() // rows_per_bucket))
+    keyed = drawn.withColumn("key", -F.log(u) / F.greatest("quality", F.lit(1e-3))).repartitionByRange(buckets, "source", "key", "doc_id", "item")
+    placed = scratch.keep(keyed.withColumn("bucket", F.spark_partition_id()), "drawn")
+    # a row per named source
+    available = dict(placed.groupBy("source").agg(F.sum("n_tokens")).collect())
     budgets = spark.createDataFrame(
         plan_budgets(plans, available), "plan_name string, source string, target_share double, max_repeats int, budget long, epochs long, rest long")
 
-    buckets = max(16, min(65_536, rows // rows_per_bucket))
-    placed = drawn.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key") * rate)) * buckets), F.lit(buckets - 1)).cast("int"))
-    # at most 65,536 buckets a source, whatever the number of texts
+    # a row per source and partition
     starts = placed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("inside")).select(
         "source", "bucket", (F.sum("inside").over(Window.partitionBy("source").orderBy("bucket")) - F.col("inside")).alias("start"))
     within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "item").rowsBetween(Window.unboundedPreceding, Window.currentRow)

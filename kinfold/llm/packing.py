@@ -5,12 +5,14 @@ dual feasible function f maps sizes so that whatever fits into one container sum
 the sum of f over a partition's items, rounded up, is therefore a lower bound on its containers.
 A partition that needs no more than its best such bound is certified optimal and left alone.
 Partitions with a gap give the contents of their containers with room left into a common pool,
-are spread anew over fewer partitions, and packed again, while that saves containers.
+are spread anew over fewer partitions, and packed again, for as long as a round saves at least
+REPACK_GAIN of the containers it opens.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,8 @@ from kinfold.session import Scratch
 
 #: Items packed by one task: bounds its memory and keeps partitions large enough to pack well.
 ITEMS_PER_PARTITION = 40_000
-ROUNDS = 3
+#: A further round must save this share of the containers it opens.
+REPACK_GAIN = 0.001
 
 
 def lower_bound(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> int:
@@ -88,7 +91,7 @@ def pieces(items: DataFrame, capacities: dict[str, int]) -> DataFrame:
         "spec_name", "item", "doc_id", (F.col("part") * F.col("capacity")).alias("first_token"), size.alias("n_tokens"), (size == F.col("capacity")).alias("whole"))
 
 
-PACKED = "spec_name string, item long, doc_id long, first_token long, n_tokens long, container long, filled long, certified boolean, bucket long"
+PACKED = "spec_name string, item {item}, doc_id long, first_token long, n_tokens long, container long, filled long, certified boolean, bucket long"
 
 
 def _pack_round(items: DataFrame, capacities: dict[str, int], lanes: dict[str, int], seed: int) -> DataFrame:
@@ -108,7 +111,7 @@ def _pack_round(items: DataFrame, capacities: dict[str, int], lanes: dict[str, i
 
     number = F.create_map(*[F.lit(x) for name, n in lanes.items() for x in (name, n)])
     spread = F.pmod(F.xxhash64(F.lit(seed), "item", "first_token"), F.element_at(number, F.col("spec_name")))
-    return items.select("spec_name", "item", "doc_id", "first_token", "n_tokens", spread.cast("long").alias("bucket")).groupBy("spec_name", "bucket").applyInArrow(pack, PACKED)
+    return items.select("spec_name", "item", "doc_id", "first_token", "n_tokens", spread.cast("long").alias("bucket")).groupBy("spec_name", "bucket").applyInArrow(pack, PACKED.format(item=items.schema["item"].dataType.simpleString()))
 
 
 def _numbers(df: DataFrame, *aggregates) -> dict[str, tuple]:
@@ -116,18 +119,19 @@ def _numbers(df: DataFrame, *aggregates) -> dict[str, tuple]:
 
 
 def fill_containers(items: DataFrame, capacities: dict[str, int], scratch: Scratch, per_partition: int = ITEMS_PER_PARTITION) -> DataFrame:
-    """(spec_name, container_id, doc_id, first_token, n_tokens) over ``items(item, doc_id, n_tokens)``.
+    """(spec_name, container_id, doc_id, first_token, n_tokens, certified) over ``items(item, doc_id, n_tokens)``.
 
-    ``item`` is unique.  Every item is in exactly one container per spec, unless it is above the
+    ``certified`` says of a container that it is full, or that its partition needs no more
+    containers than its lower bound.  ``item`` is unique.  Every item is in exactly one container per spec, unless it is above the
     capacity and was cut; an item of no tokens takes no room but is placed.  An empty input gives
     no rows.  Repeated documents are items of their own.
     """
     cut = scratch.keep(pieces(items, capacities), "pieces")
-    done = [cut.filter("whole").select("spec_name", F.concat_ws("-", "spec_name", F.lit("full"), "item", "first_token").alias("container_id"), "doc_id", "first_token", "n_tokens")]
+    done = [cut.filter("whole").select("spec_name", F.concat_ws("-", "spec_name", F.lit("full"), "item", "first_token").alias("container_id"), "doc_id", "first_token", "n_tokens", F.lit(True).alias("certified"))]
     open_items = cut.filter("not whole")
     key = F.struct("bucket", "container")
     best: dict[str, int] = {}
-    for n in range(ROUNDS):
+    for n in count():
         sizes = _numbers(open_items, F.count(F.lit(1)))
         if not sizes:
             break
@@ -137,13 +141,12 @@ def fill_containers(items: DataFrame, capacities: dict[str, int], scratch: Scrat
         if best:
             # a repacking that saves nothing is dropped in favour of the one it started from
             got = _numbers(packed, F.count_distinct(key))
-            worse = [s for s in got if got[s][0] >= best[s]]
+            worse = [s for s in got if got[s][0] > best[s] * (1 - REPACK_GAIN) or got[s][0] >= best[s]]
             if worse:
                 done.append(_named(previous.filter(F.col("spec_name").isin(worse) & reopen), n - 1))
                 packed = packed.filter(~F.col("spec_name").isin(worse))
         reopen = ~F.col("certified") & (F.col("filled") < capacity)
-        last = n == ROUNDS - 1
-        room = {} if last else _numbers(packed.filter(reopen), F.count_distinct(key))
+        room = _numbers(packed.filter(reopen), F.count_distinct(key))
         again = [s for s, (c,) in room.items() if c > 1 and lanes[s] > 1]
         stay = packed if not again else packed.filter(~(F.col("spec_name").isin(again) & reopen))
         done.append(_named(stay, n))
@@ -159,22 +162,23 @@ def fill_containers(items: DataFrame, capacities: dict[str, int], scratch: Scrat
 
 
 def _named(packed: DataFrame, n: int) -> DataFrame:
-    return packed.select("spec_name", F.concat_ws("-", "spec_name", F.lit(n), "bucket", "container").alias("container_id"), "doc_id", "first_token", "n_tokens")
+    return packed.select("spec_name", F.concat_ws("-", "spec_name", F.lit(n), "bucket", "container").alias("container_id"), "doc_id", "first_token", "n_tokens", "certified")
 
 
 def packing_report(packed: DataFrame, capacities: dict[str, int], spark: SparkSession) -> DataFrame:
-    """(spec_name, capacity_tokens, containers, lower_bound, tokens, fill) of a finished packing.
+    """(spec_name, capacity_tokens, containers, lower_bound, certified_containers, tokens, fill) of a finished packing.
 
     The bound is over all items together: their sizes form at most ``capacity`` distinct values
     per spec, which is all that reaches the driver.
     """
     counts = packed.groupBy("spec_name", "n_tokens").count().collect()
-    used = {r[0]: r[1] for r in packed.groupBy("spec_name").agg(F.count_distinct("container_id")).collect()}
+    per = packed.groupBy("spec_name", "container_id").agg(F.max("certified").alias("sure")).groupBy("spec_name").agg(F.count(F.lit(1)), F.count(F.when(F.col("sure"), 1)))
+    used = {r[0]: (r[1], r[2]) for r in per.collect()}
     rows = []
     for name, capacity in sorted(capacities.items()):
         own = [(r["n_tokens"], r["count"]) for r in counts if r["spec_name"] == name]
         sizes, number = (np.array([x[i] for x in own], np.int64) for i in (0, 1))
         tokens = int((sizes * number).sum())
-        n = used.get(name, 0)
-        rows.append((name, capacity, n, lower_bound(sizes, number, capacity), tokens, tokens / (n * capacity) if n else None))
-    return spark.createDataFrame(rows, "spec_name string, capacity_tokens int, containers long, lower_bound long, tokens long, fill double")
+        n, sure = used.get(name, (0, 0))
+        rows.append((name, capacity, n, lower_bound(sizes, number, capacity), sure, tokens, tokens / (n * capacity) if n else None))
+    return spark.createDataFrame(rows, "spec_name string, capacity_tokens int, containers long, lower_bound long, certified_containers long, tokens long, fill double")

@@ -31,16 +31,30 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct pair with its partition."""
     scratch = Scratch(spark, "splits")
+    units = grouping.split_units(read_table(spark, sf_dir, "verified_labels"), scratch)
+    return grouping.assign_splits(units, _fractions(spark, sf_dir), scratch)
+
+
+def _fractions(spark: SparkSession, sf_dir: str) -> dict[str, float]:
     # one row per partition: the configuration does not grow with the data
     config = read_table(spark, sf_dir, "split_config").filter(F.col("method") == "entity_household_connected_components").collect()
-    units = grouping.split_units(read_table(spark, sf_dir, "verified_labels"), scratch)
-    return grouping.assign_splits(units, {r["partition_name"]: r["fraction"] for r in config}, scratch)
+    return {r["partition_name"]: r["fraction"] for r in config}
+
+
+def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs and units per partition against the fractions asked for."""
+    return grouping.split_shares(p4_splits(spark, sf_dir), _fractions(spark, sf_dir), spark)
 
 
 def _sized(spark: SparkSession, sf_dir: str, scratch: Scratch, *keep: str) -> DataFrame:
-    """Every document with its size; ``item`` tells rows apart, also those with the same id."""
+    """Every document with its size; ``item`` tells rows apart, also those with the same id.
+
+    Equal rows are counted and numbered, so that items do not depend on how the table is stored.
+    """
     sized = tokens.measured(read_table(spark, sf_dir, "documents"), keep=keep)
-    return scratch.keep(sized.withColumn("item", F.monotonically_increasing_id()), "sized")
+    once = sized.groupBy(*sized.columns).agg(F.count(F.lit(1)).alias("rows"))
+    each = once.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).drop("rows")
+    return scratch.keep(each.withColumn("item", F.to_json(F.struct(*sized.columns, "copy"))).drop("copy"), "sized")
 
 
 def _capacities(spark: SparkSession, sf_dir: str) -> dict[str, int]:
@@ -90,7 +104,7 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p3_found": p3_found, "p3_matches": p3_matches, "p4_found": p4_found, "p4_splits": p4_splits, "p6_containers": p6_containers, "p6_report": p6_report,
+    "p2_found": p2_found, "p3_found": p3_found, "p3_matches": p3_matches, "p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares, "p6_containers": p6_containers, "p6_report": p6_report,
     "p7_mix": p7_mix, "p7_shares": p7_shares,
     "p8_found": p8_found, "p8_redacted": p8_redacted,
 }
