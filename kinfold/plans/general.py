@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.operators.changefeed import FeedSpec, apply_changes, fold_changes
-from kinfold.operators.quality import load_findings, profile_columns, value_counts
-from kinfold.session import read_table
+from kinfold.operators.quality import column_facts, load_findings, load_shifts, profile_columns, value_counts
+from kinfold.session import Scratch, read_table
 
 ADJUDICATION_PAYLOAD = (
     "left_record_key", "right_record_key", "decision", "confidence", "reviewer_id",
@@ -44,12 +44,13 @@ def p1_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", F.col("__life.p0").alias("deleted_epoch"), F.col("__life.p1").alias("deleted_seq"))
 
 
+def _paths(sf_dir: str) -> dict[str, str]:
+    return {name: f"{sf_dir}/{name}.parquet" for name in ("source_a", "source_b")}
+
+
 def _counts(spark: SparkSession, sf_dir: str, columns) -> DataFrame:
-    parts = [
-        value_counts(spark, f"{sf_dir}/{name}.parquet", columns, "load_id").withColumn("dataset_id", F.lit(name))
-        for name in ("source_a", "source_b")
-    ]
-    return parts[0].unionByName(parts[1])
+    """Value counts by load, written once: several parts of a query start from them."""
+    return Scratch(spark, "profile").keep(value_counts(spark, _paths(sf_dir), columns, "load_id"), "counts")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,17 +63,30 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every column of both sources, load by load."""
-    counts = _counts(spark, sf_dir, ALL_COLUMNS)
-    parts = []
-    for name in ("source_a", "source_b"):
-        patterns = read_table(spark, sf_dir, "column_baseline").filter(F.col("dataset_id") == name)
-        parts.append(profile_columns(counts.filter(F.col("dataset_id") == name), patterns).withColumn("dataset_id", F.lit(name)))
-    return parts[0].unionByName(parts[1]).select(
+    profile = profile_columns(_counts(spark, sf_dir, ALL_COLUMNS), read_table(spark, sf_dir, "column_baseline"))
+    return profile.select(
         "dataset_id", F.col("grp").cast("int").alias("load_id"), "column_name", "rows_total", "nulls", "blanks",
-        F.round("missing_share", 6).alias("missing_share"), "present", "distinct_values", "violations")
+        F.round("missing_share", 6).alias("missing_share"), "present", "distinct_values", "min_value", "max_value", "violations")
+
+
+def p5_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each load's values are from those of the load before, by their shapes."""
+    return load_shifts(_counts(spark, sf_dir, ALL_COLUMNS)).select(
+        "dataset_id", F.col("grp").cast("int").alias("load_id"), "column_name", F.col("before").cast("int").alias("load_before"), F.round("shift", 6).alias("shift"))
+
+
+def p5_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sources as whole tables, from footers and dictionary pages."""
+    return column_facts(spark, _paths(sf_dir), (*ALL_COLUMNS, "load_id")).drop("by_footer", "by_dictionary", "by_pages")
+
 
+def p5_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column chunks by the part of the file that answered for them."""
+    return column_facts(spark, _paths(sf_dir), (*ALL_COLUMNS, "load_id")).select("dataset_id", "column_name", "by_footer", "by_dictionary", "by_pages")
 
-QUERIES = {"p1_found": p1_found, "p1_table": p1_table, "p1_tombstones": p1_tombstones, "p5_found": p5_found, "p5_profile": p5_profile}
+
+QUERIES = {"p1_found": p1_found, "p1_table": p1_table, "p1_tombstones": p1_tombstones, "p5_found": p5_found, "p5_profile": p5_profile, "p5_shifts": p5_shifts,
+           "p5_columns": p5_columns, "p5_chunks": p5_chunks}
 
 _FOLD = """
 with f as (select *, lower(op[1:1]) as o, (log_epoch::hugeint * 1000000000000 + log_seq) as pos,
@@ -98,6 +112,12 @@ _CELLS = """cells as (
   union all select 'source_b', load_id, 'date_value', date_value from source_b
   union all select 'source_b', load_id, 'group_value', group_value from source_b"""
 
+_ALL_CELLS = _CELLS + """
+  union all select 'source_a', load_id, 'record_key', record_key from source_a
+  union all select 'source_b', load_id, 'record_key', record_key from source_b
+  union all select 'source_a', load_id, 'updated_at', strftime(updated_at, '%Y-%m-%d %H:%M:%S.%f') from source_a
+  union all select 'source_b', load_id, 'updated_at', strftime(updated_at, '%Y-%m-%d %H:%M:%S.%f') from source_b)"""
+
 ORACLE = {
     "p1_found": _FOLD + f""", s as (select event_id, {_newest('left_record_key')} as l, {_newest('right_record_key')} as r
         from f join alive using (event_id) group by event_id)
@@ -107,19 +127,28 @@ ORACLE = {
         + " from f join alive using (event_id) group by event_id",
     "p1_tombstones": _FOLD + """select event_id, (life // 1000000000000)::integer as deleted_epoch,
         (life % 1000000000000)::bigint as deleted_seq from last_life where born is null or life > born""",
-    "p5_profile": "with " + _CELLS + """
-  union all select 'source_a', load_id, 'record_key', record_key from source_a
-  union all select 'source_b', load_id, 'record_key', record_key from source_b
-  union all select 'source_a', load_id, 'updated_at', updated_at::varchar from source_a
-  union all select 'source_b', load_id, 'updated_at', updated_at::varchar from source_b)
+    "p5_profile": "with " + _ALL_CELLS + """
 select dataset_id, load_id, column_name, count(*) as rows_total, count(*) filter (where v is null) as nulls,
   count(*) filter (where v is not null and """ + _MISSING_SQL + """) as blanks,
   round(count(*) filter (where """ + _MISSING_SQL + """) / count(*), 6) as missing_share,
   count(*) filter (where not """ + _MISSING_SQL + """) as present,
   count(distinct v) filter (where not """ + _MISSING_SQL + """) as distinct_values,
+  min(v) filter (where not """ + _MISSING_SQL + """) as min_value, max(v) filter (where not """ + _MISSING_SQL + """) as max_value,
   count(*) filter (where not """ + _MISSING_SQL + """ and value_pattern is not null and not regexp_matches(v, value_pattern)) as violations
 from cells left join (select dataset_id, column_name, value_pattern from column_baseline) using (dataset_id, column_name)
 group by dataset_id, load_id, column_name""",
+    "p5_shifts": "with " + _ALL_CELLS + r""", s as (select dataset_id, column_name, load_id, coalesce(regexp_replace(regexp_replace(regexp_replace(v, '[0-9]+', '9', 'g'), '[A-Z]+', 'A', 'g'), '[a-z]+', 'a', 'g'), chr(0)) as shape, count(*) as n from cells group by all),
+  l as (select *, lag(load_id) over (partition by dataset_id, column_name order by load_id) as load_before from (select dataset_id, column_name, load_id, sum(n) as total from s group by all)),
+  k as (select l.*, b.total as total_before from l join l b on b.dataset_id = l.dataset_id and b.column_name = l.column_name and b.load_id = l.load_before),
+  x as (select k.dataset_id, k.column_name, k.load_id, shape, n / total as d from s join k using (dataset_id, column_name, load_id)
+    union all select k.dataset_id, k.column_name, k.load_id, shape, -n / total_before from s join k on s.dataset_id = k.dataset_id and s.column_name = k.column_name and s.load_id = k.load_before),
+  g as (select dataset_id, column_name, load_id, abs(sum(d)) / 2 as gap from x group by dataset_id, column_name, load_id, shape)
+  select dataset_id, load_id, column_name, any_value(load_before) as load_before, round(sum(gap), 6) as shift from g join k using (dataset_id, column_name, load_id) group by dataset_id, load_id, column_name""",
+    "p5_columns": "with " + _ALL_CELLS + """
+select dataset_id, column_name, count(*) as rows_total, count(*) filter (where v is null) as nulls, count(distinct v) as distinct_values, min(v) as min_value, max(v) as max_value
+from cells group by 1, 2
+union all select 'source_a', 'load_id', count(*), count(*) - count(load_id), count(distinct load_id), min(load_id)::varchar, max(load_id)::varchar from source_a
+union all select 'source_b', 'load_id', count(*), count(*) - count(load_id), count(distinct load_id), min(load_id)::varchar, max(load_id)::varchar from source_b""",
     "p5_found": "with " + _CELLS + """),
 m as (select c.*, b.null_rate, b.value_pattern, b.min_value, b.max_value, b.min_distinct_share, b.category_shares,
   """ + _MISSING_SQL + """ as gone, not """ + _MISSING_SQL + """ and b.value_pattern is not null and regexp_matches(v, b.value_pattern) as fits
