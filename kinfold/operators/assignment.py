@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -163,3 +164,37 @@ def integrity(edges: DataFrame) -> DataFrame:
     pairs = edges.groupBy("source", "target").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_edges"))
     bad = edges.agg(F.coalesce(F.sum(F.when(F.col("probability").between(0, 1), 0).otherwise(1)), F.lit(0)).alias("bad_probabilities"))
     return reduce(DataFrame.crossJoin, [ranks, pairs, bad])  # three single rows
+
+
+@dataclass(frozen=True)
+class AssignmentPlan:
+    """A constraint with its bounds; an input beyond the edge budget is refused before anything is solved."""
+
+    constraint: str = "one_to_one"
+    no_match_utility: float = 0.0
+    scale: int = 1_000_000
+    edge_budget: int = 10_000_000
+    source_capacity: int | None = None
+    target_capacity: int | None = None
+
+    def __post_init__(self):
+        if self.constraint not in ("one_to_one", "many_to_one", "one_to_many", "unconstrained"):
+            raise ValueError(f"unknown constraint {self.constraint}")
+        if self.scale < 1 or self.edge_budget < 1 or any(c is not None and c < 1 for c in (self.source_capacity, self.target_capacity)):
+            raise ValueError("scale, budget and capacities must be at least 1")
+        if self.constraint == "one_to_one" and (self.source_capacity or 1, self.target_capacity or 1) != (1, 1):
+            raise ValueError("one to one has no capacities")
+
+    def solve(self, edges: DataFrame, scratch: Scratch) -> DataFrame:
+        """(source, target, probability, cost) chosen from ``edges(source, target, probability)``."""
+        costed = scratch.keep(edge_costs(edges, self.scale), "plan-edges")
+        n = costed.count()
+        if n > self.edge_budget:
+            raise ValueError(f"{n} edges exceed the budget of {self.edge_budget}")
+        if self.constraint == "one_to_one":
+            return one_to_one(costed, scratch, self.no_match_utility, scale=self.scale)
+        if self.constraint == "many_to_one":
+            return many_to_one(costed, scratch, self.no_match_utility, self.target_capacity)
+        if self.constraint == "one_to_many":
+            return one_to_many(costed, scratch, self.no_match_utility, self.source_capacity)
+        return unconstrained(costed, scratch, self.no_match_utility, self.source_capacity, self.target_capacity)

@@ -120,7 +120,7 @@ def candidate_pairs(left: DataFrame, right: DataFrame | None, rules: dict, left_
     dedupe = right is None
     other = left if right is None else right
     found = [
-        _join_one(left, other, leaves, dedupe, (left_columns or {}, right_columns or left_columns or {})).withColumn("rule", F.lit(rule))
+        _join_one(left, other, leaves, dedupe, (left_columns or {}, left_columns or {} if right_columns is None else right_columns)).withColumn("rule", F.lit(rule))
         for rule, predicate in rules.items() for leaves in conjunctions(predicate)
     ]
     pairs = reduce(DataFrame.unionByName, found).groupBy("l", "r").agg(F.array_sort(F.collect_set("rule")).alias("rules"))

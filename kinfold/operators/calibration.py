@@ -126,6 +126,19 @@ def calibration_errors(scored: DataFrame) -> DataFrame:
     return scored.agg(F.avg(F.pow(F.col("score") - F.col("label"), 2)).alias("brier")).crossJoin(e)  # two single rows
 
 
+def calibration_line(scored: DataFrame) -> tuple[float, float]:
+    """(intercept, slope) of labels on the logit of the score: 0 and 1 for calibrated scores."""
+    slope, intercept = fit_logistic(scored, [clipped_logit(F.col("score"))])
+    return intercept, slope
+
+
+def calibration_diagnostics(scored: DataFrame) -> DataFrame:
+    """One row: brier, ece, mce, mean_probability, observed_rate, intercept, slope."""
+    intercept, slope = calibration_line(scored)
+    mean = scored.agg(F.avg("score").alias("mean_probability"), F.avg("label").alias("observed_rate"))
+    return calibration_errors(scored).crossJoin(mean).withColumns({"intercept": F.lit(intercept), "slope": F.lit(slope)})  # single rows
+
+
 def select_calibrator(reports: list[tuple[str, float, float]], by: str = "brier") -> str:
     """Name of the best (name, brier, ece), ties by the other figure and then by name."""
     order = (1, 2) if by == "brier" else (2, 1)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions.similarity import COMPARISONS, check_levels, level_index
-from kinfold.operators.blocking import candidate_pairs
+from kinfold.operators.blocking import candidate_pairs, check_budget
 
 
 @dataclass(frozen=True)
@@ -60,25 +60,31 @@ class Anchor:
     predicate: object
     unique_left: bool = True
     unique_right: bool = True
+    #: Columns of either side by variable, where they are not called v_ and the variable.
+    left_columns: dict | None = None
+    right_columns: dict | None = None
 
 
 ANCHOR_SCHEMA = ("left_record_key string, right_record_key string, anchor_id string, left_match_count long, right_match_count long, "
                  "left_unique boolean, right_unique boolean, uniqueness_pass boolean, evidence_role string, overrides_decision boolean")
 
 
-def anchor_evidence(left: DataFrame, right: DataFrame, anchors: list[Anchor]) -> DataFrame:
+def anchor_evidence(left: DataFrame, right: DataFrame, anchors: list[Anchor], budget: int | None = None) -> DataFrame:
     """One row per anchor and pair it matches, with match counts per side and uniqueness.
 
     Counts come from aggregations joined back rather than from windows: a key that matches a third
-    of all rows is then a partial sum on every task instead of one task's window.
+    of all rows is then a partial sum on every task instead of one task's window.  More distinct
+    pairs than the budget stop the job.
     """
     if not anchors:
         return left.sparkSession.createDataFrame([], ANCHOR_SCHEMA)
     found = None
     for a in anchors:
-        one = candidate_pairs(left, right, {a.id: a.predicate}).select(
+        one = candidate_pairs(left, right, {a.id: a.predicate}, a.left_columns, a.right_columns).select(
             "left_record_key", "right_record_key", F.lit(a.id).alias("anchor_id"), F.lit(a.unique_left).alias("need_l"), F.lit(a.unique_right).alias("need_r"))
         found = one if found is None else found.unionByName(one)
+    if budget is not None:
+        check_budget(found.select("left_record_key", "right_record_key").distinct(), budget)
     n_left = found.groupBy("anchor_id", "left_record_key").agg(F.count(F.lit(1)).alias("left_match_count"))
     n_right = found.groupBy("anchor_id", "right_record_key").agg(F.count(F.lit(1)).alias("right_match_count"))
     both = found.join(n_left, ["anchor_id", "left_record_key"]).join(n_right, ["anchor_id", "right_record_key"])

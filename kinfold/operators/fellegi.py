@@ -94,3 +94,50 @@ def match_probability(weight: Column) -> Column:
 def score(features: DataFrame, weights: dict[str, list[float]], prior: float) -> DataFrame:
     """The features with match_weight and match_probability."""
     return features.withColumn("match_weight", match_weight(weights, prior)).withColumn("match_probability", match_probability(F.col("match_weight")))
+
+
+PAIR = ["left_record_key", "right_record_key"]
+
+
+def score_integrity(scores: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row: candidates without score, scores without candidate, repeated pairs, and probabilities that are none.
+
+    All zero for sound scores.  Null, NaN and anything outside [0, 1] is no probability.
+    """
+    per = scores.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n"))
+    both = candidates.select(*PAIR).distinct().withColumn("c", F.lit(1)).join(per, PAIR, "full")
+    cover = both.agg(F.count(F.when(F.col("n").isNull(), 1)).alias("missing_scores"), F.count(F.when(F.col("c").isNull(), 1)).alias("foreign_scores"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated_pairs"))
+    p = F.col("match_probability")
+    bad = scores.agg(F.count(F.when(p.isNull() | F.isnan(p) | ~p.between(0, 1), 1)).alias("bad_probabilities"))
+    return cover.crossJoin(bad)  # two single rows
+
+
+def pair_parity(one: DataFrame, two: DataFrame) -> DataFrame:
+    """One row: pairs in both, only in the first, only in the second; both are taken as sets."""
+    side = lambda df, c: df.select(*PAIR).distinct().withColumn(c, F.lit(1))
+    both = side(one, "a").join(side(two, "b"), PAIR, "full")
+    return both.agg(F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).alias("shared"), F.count(F.when(F.col("b").isNull(), 1)).alias("only_first"), F.count(F.when(F.col("a").isNull(), 1)).alias("only_second"))
+
+
+def fit_by_rule(features: DataFrame, levels: dict[str, int], u: dict[str, list[float]], missing: dict[str, int | None], prior: float, smoothing: float = 1e-3) -> tuple[dict, dict]:
+    """(m, pairs by rule): one expectation-maximisation per retrieval rule, averaged over the rules.
+
+    ``features`` has retrieval_rule_ids, comma-separated; a pair of several rules counts for each.
+    All rules come from one aggregation, with a row per rule and pattern.  The averages are then
+    smoothed: (m * pairs + s) / (pairs + s * levels) over the levels that are not missing.
+    """
+    rules = features.withColumn("rule", F.explode(F.array_distinct(F.split("retrieval_rule_ids", ",")))).filter("rule != ''")
+    table: dict = {}
+    for r in rules.groupBy("rule", *levels).agg(F.count(F.lit(1)).alias("pairs")).collect():  # rules times patterns
+        table.setdefault(r["rule"], []).append((tuple(r[c] for c in levels), r["pairs"]))
+    if not table:
+        return {c: list(u[c]) for c in levels}, {}
+    fits = [expectation_maximisation(sorted(rows, key=str), levels, u, missing, prior) for _, rows in sorted(table.items())]
+    mass = sum(pairs for rows in table.values() for _, pairs in rows)
+    m = {}
+    for c, n in levels.items():
+        mean = [sum(f[c][i] for f in fits) / len(fits) for i in range(n)]
+        live = [i for i in range(n) if i != missing.get(c)]
+        share = sum(mean[i] for i in live)
+        m[c] = [share * (mean[i] / share * mass + smoothing) / (mass + smoothing * len(live)) if i in live else mean[i] for i in range(n)]
+    return m, {rule: sum(n for _, n in rows) for rule, rows in table.items()}

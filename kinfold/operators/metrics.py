@@ -119,7 +119,7 @@ def contingency(clusters: DataFrame) -> DataFrame:
 
 
 def cluster_metrics(clusters: DataFrame) -> DataFrame:
-    """One row: BCubed precision, recall, F1; purity and inverse purity; pairwise TP, FP, FN, precision, recall."""
+    """One row: BCubed precision, recall, F1; purity and inverse purity; pairwise TP, FP, FN, TN, precision, recall."""
     cell = contingency(clusters)
     two = lambda c: c * (c - 1) / 2
     s = cell.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("n") / F.col("pn")) / F.sum("n")).alias("bp"), (F.sum(F.col("n") * F.col("n") / F.col("tn")) / F.sum("n")).alias("br"), F.sum(two(F.col("n"))).alias("tp"))
@@ -128,7 +128,29 @@ def cluster_metrics(clusters: DataFrame) -> DataFrame:
     return s.crossJoin(p).crossJoin(t).select(  # three single rows
         F.col("n").alias("records"), F.col("bp").alias("bcubed_precision"), F.col("br").alias("bcubed_recall"), (2 * F.col("bp") * F.col("br") / (F.col("bp") + F.col("br"))).alias("bcubed_f1"),
         (F.col("ptop") / F.col("n")).alias("purity"), (F.col("ttop") / F.col("n")).alias("inverse_purity"), F.col("tp").cast("long").alias("true_pairs"), (F.col("pp") - F.col("tp")).cast("long").alias("false_pairs"),
-        (F.col("tt") - F.col("tp")).cast("long").alias("missed_pairs"), _ratio(F.col("tp"), F.col("pp"), 1.0).alias("pair_precision"), _ratio(F.col("tp"), F.col("tt"), 1.0).alias("pair_recall"))
+        (F.col("tt") - F.col("tp")).cast("long").alias("missed_pairs"), (two(F.col("n")) - F.col("pp") - F.col("tt") + F.col("tp")).cast("long").alias("true_negative_pairs"), _ratio(F.col("tp"), F.col("pp"), 1.0).alias("pair_precision"), _ratio(F.col("tp"), F.col("tt"), 1.0).alias("pair_recall"))
+
+
+def multi_source_report(clusters: DataFrame, violations: DataFrame) -> DataFrame:
+    """(metric, value): all cluster metrics and the constraint violations, rounded, a row each."""
+    row = cluster_metrics(clusters).crossJoin(violations)  # two single rows
+    entries = F.array(*[F.struct(F.lit(c).alias("metric"), F.round(F.col(c).cast("double"), 6).alias("value")) for c in row.columns])
+    return row.select(F.inline(entries))
+
+
+def benchmark_metrics(scored: DataFrame, query: str = "l", cutoffs=(1, 5, 10)) -> DataFrame:
+    """One row: sensitivity, PPV and Brier at 0.5; reciprocal rank and recall at the cutoffs over queries that have a positive.
+
+    Ranks are by falling score, then pair_digest.  A query's best positive is found by one
+    aggregate, and its rank by counting the rows before it, so no group is ever sorted.
+    """
+    order = F.struct((-F.col("score")).alias("s"), "pair_digest")
+    best = scored.filter("label = 1").groupBy(query).agg(F.min(order).alias("best"))
+    ahead = scored.join(best, query).filter(order <= F.col("best")).groupBy(query).agg(F.count(F.lit(1)).alias("rank"))
+    ranks = ahead.agg(F.count(F.lit(1)).alias("queries"), F.avg(1 / F.col("rank")).alias("mean_reciprocal_rank"), *[F.avg((F.col("rank") <= k).cast("int")).alias(f"recall_at_{k}") for k in cutoffs])
+    hit, positive = F.col("score") >= 0.5, F.col("label") == 1
+    s = scored.agg(F.count(F.when(hit & positive, 1)).alias("tp"), F.count(F.when(hit, 1)).alias("called"), F.count(F.when(positive, 1)).alias("p"), F.avg(F.pow(F.col("score") - F.col("label"), 2)).alias("brier"))
+    return s.crossJoin(ranks).select(_ratio(F.col("tp"), F.col("p")).alias("sensitivity"), _ratio(F.col("tp"), F.col("called")).alias("ppv"), "brier", "queries", "mean_reciprocal_rank", *[f"recall_at_{k}" for k in cutoffs])
 
 
 def disjointness(rows: DataFrame, unit: str, partition: str) -> DataFrame:

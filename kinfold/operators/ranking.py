@@ -70,3 +70,8 @@ def label_budget(labelled: DataFrame, budget: int, seed: int) -> DataFrame:
         part = labelled.filter(F.col("label") == label).orderBy(F.sha2(F.concat_ws(":", "pair_digest", F.lit(str(seed))), 256)).limit(take)
         out = part if out is None else out.unionByName(part)
     return labelled if out is None else out
+
+
+def scoring_groups(scored: DataFrame, query: str) -> DataFrame:
+    """Every candidate with the size of its query's group, whatever its label; rows are ordered by (query, pair_digest) when collected."""
+    return scored.join(scored.groupBy(query).agg(F.count(F.lit(1)).alias("group_size")), query)

@@ -1,6 +1,6 @@
 """Modules that hold queries of the core."""
 
-from kinfold.plans import extras, general, linkage, scoring
+from kinfold.plans import checks, extras, general, linkage, scoring
 
 FLAGSHIP = "decisions"
-MODULES = [general, linkage, scoring, extras]
+MODULES = [general, linkage, scoring, checks, extras]

@@ -84,10 +84,10 @@ def _run(mode: str, constraint: str = "one_to_one"):
     return query
 
 
-def synthetic_linkage(spark, sf_dir):
+def synthetic_linkage(spark, sf_dir, entities: int = 120):
     """Generated tables linked by the pipeline, whatever the folder holds."""
     scratch = Scratch(spark, "synthetic")
-    tables, truth = generate(spark, Scenario(entities=120, left_only=8, right_only=8, duplicates=8, competitors=20, seed=20260816))
+    tables, truth = generate(spark, Scenario(entities=entities, left_only=8, right_only=8, duplicates=8, competitors=20, seed=20260816))
     paths = {}
     for name, table in tables.items():
         scratch.keep(table, name)
@@ -173,7 +173,7 @@ def _r(df: DataFrame) -> DataFrame:
 
 QUERIES = {
     "scan_parquet": scan_parquet, "scan_csv": _round_trip("csv"), "scan_tsv": _round_trip("tsv"), "scan_jsonl": _round_trip("jsonl"), "sink_crosswalk": crosswalk_sink,
-    "run_link_only": _run("link_only"), "run_many_to_one": _run("link_only", "many_to_one"), "run_dedupe_only": _run("dedupe_only"), "run_link_and_dedupe": _run("link_and_dedupe"), "run_synthetic": synthetic_linkage,
+    "run_link_only": _run("link_only"), "run_many_to_one": _run("link_only", "many_to_one"), "run_dedupe_only": _run("dedupe_only"), "run_link_and_dedupe": _run("link_and_dedupe"), "run_synthetic": synthetic_linkage, "run_synthetic_500": lambda s, d: synthetic_linkage(s, d, 500),
     "model_gbt": _model("gbt"), "model_forest": _model("forest"), "model_mlp": _model("mlp"), "model_stacking": stacking, "model_folds": grouped_folds, "model_ranker": ranker,
     "advisor_mechanism": mechanism, "advisor_nearest": advisor_nearest, "advisor_pareto": advisor_pareto,
     "advisor_evidence": lambda s, d: _r(V.recipe_evidence(runs(s, d))), "advisor_advice": lambda s, d: _r(V.advise(V.recipe_evidence(runs(s, d)), advisor_nearest(s, d))),

@@ -143,11 +143,6 @@ def assign_capped(spark, sf_dir):
     return _out(A.many_to_one(costed(spark, sf_dir), Scratch(spark, "capped"), target_capacity=1))
 
 
-def assign_integrity(spark, sf_dir):
-    ranked = R.rank_candidates(scored_edges(spark, sf_dir), "source", 3).withColumnRenamed("candidate_rank", "rank")
-    return A.integrity(ranked.withColumnRenamed("score", "probability"))
-
-
 def link_and_dedupe(spark, sf_dir):
     n = nodes(spark, sf_dir)
     own = lambda p: graph(spark, sf_dir).filter(F.col("u").startswith(p) & F.col("v").startswith(p))
@@ -369,7 +364,7 @@ QUERIES = {
     "agglomerative": _solver("agglomerative", one_per_dataset=True), "multi_components": multi_components, "cluster_entities": cluster_entities, "crosswalk": crosswalk_agglomerative, "constraint_violations": violations,
     "assign_top1": lambda s, d: A.independent_top1(costed(s, d)), "assign_many_to_one": lambda s, d: _out(A.many_to_one(costed(s, d))), "assign_one_to_many": lambda s, d: _out(A.one_to_many(costed(s, d))),
     "assign_unconstrained": lambda s, d: _out(A.unconstrained(costed(s, d), source_capacity=2)), "assign_one_to_one": assign_one_to_one, "assign_capped": assign_capped,
-    "assign_result": assign_result, "assign_integrity": assign_integrity, "link_and_dedupe": link_and_dedupe,
+    "assign_result": assign_result, "link_and_dedupe": link_and_dedupe,
     "decision_evidence": lambda s, d: _rounded(D.top_two(costed(s, d))), "decisions": decisions, "decision_counts": lambda s, d: decisions(s, d).groupBy("status").agg(F.count(F.lit(1)).alias("sources")),
     "review_priority": review_priority, "review_queue": review_queue,
     "adjudication_active": active, "adjudication_consensus": consensus, "adjudication_senior": senior_consensus, "adjudication_promotion": promotion, "adjudication_promotion_summary": lambda s, d: J.promotion_summary(promotion_rows(s, d)), "adjudication_promoted": promoted, "adjudication_disagreement": disagreement, "adjudication_cycles": cycles,
@@ -468,7 +463,6 @@ ORACLE = {
     "assign_result": _NEWEST + ", " + _TOP1 + """, m as (select source, arg_min(target, cost) as target, arg_min(probability, cost) as probability from k where utility > 0 group by source)
       select s.source, m.target, round(m.probability, 6) as probability, m.target is null as is_no_match, m.target is distinct from top1.target as changed_from_top1
       from (select distinct source from e) s left join m on m.source = s.source left join top1 on top1.source = s.source""",
-    "assign_integrity": "select 0::bigint as incomplete_ranks, 0::bigint as duplicate_edges, 0::bigint as bad_probabilities",
     "decision_evidence": _EVID + " select source, top_target, round(top_probability, 6) as top_probability, round(second_probability, 6) as second_probability, round(margin, 6) as margin from top",
     "decisions": _DECIDED + " select * exclude (top_target) from dec",
     "decision_counts": _DECIDED + " select status, count(*) as sources from dec group by 1",
@@ -523,8 +517,7 @@ ORACLE = {
       a as (select sum(n) as n, sum(n * n / pn) / sum(n) as bp, sum(n * n / tn) / sum(n) as br, sum(n * (n - 1) / 2) as tp from cell join pn using (p) join tn using (t)),
       b as (select sum(top) as ptop, sum(pn * (pn - 1) / 2) as pp from pn), c as (select sum(top) as ttop, sum(tn * (tn - 1) / 2) as tt from tn)
       select n::bigint as records, round(bp, 6) as bcubed_precision, round(br, 6) as bcubed_recall, round(2 * bp * br / (bp + br), 6) as bcubed_f1, round(ptop / n, 6) as purity, round(ttop / n, 6) as inverse_purity,
-      tp::bigint as true_pairs, (pp - tp)::bigint as false_pairs, (tt - tp)::bigint as missed_pairs, round(case when pp > 0 then tp / pp else 1 end, 6) as pair_precision, round(case when tt > 0 then tp / tt else 1 end, 6) as pair_recall from a, b, c""",
-    "split_disjoint": "select entity, count(*) as partitions from (select null::varchar as entity) where entity is not null group by 1",
+      tp::bigint as true_pairs, (pp - tp)::bigint as false_pairs, (tt - tp)::bigint as missed_pairs, (n * (n - 1) / 2 - pp - tt + tp)::bigint as true_negative_pairs, round(case when pp > 0 then tp / pp else 1 end, 6) as pair_precision, round(case when tt > 0 then tp / tt else 1 end, 6) as pair_recall from a, b, c""",
     "calib_apply": _NEWEST + """, q as (select *, least(greatest(score, 1e-9), 1 - 1e-9) as s from sc) select l, r, round(1 / (1 + exp(-(1.25 * ln(s / (1 - s)) - 0.3))), 6) as sigmoid,
       round(1 / (1 + exp(-(1.1 * ln(s) - 0.8 * ln(1 - s) + 0.2))), 6) as beta,
       (case when score <= 0.1 then 0.02 when score <= 0.35 then 0.2 when score <= 0.6 then 0.45 when score <= 0.85 then 0.8 else 0.97 end)::double as isotonic from q""",

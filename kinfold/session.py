@@ -15,11 +15,20 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``, which is fixed when the session starts.  Only
-    where that is unset (tests, a laptop) does the engine use a folder of its own.
+    A cluster names it in ``spark.checkpoint.dir``, which is fixed when the session starts.  Only a
+    local session, whose executors share one machine, may leave it unset and gets a folder of its
+    own; on a cluster that is an error, since a folder of one machine is lost to all others.
     """
     named = spark.conf.get(CHECKPOINT_SETTING, None)
-    return (named or "file://" + os.path.join(tempfile.gettempdir(), f"kinfold-{os.getuid()}")).rstrip("/")
+    if named:
+        return named.rstrip("/")
+    if not is_local(spark.sparkContext.master):
+        raise RuntimeError(f"{CHECKPOINT_SETTING} is unset: a cluster must name a folder that all executors reach")
+    return "file://" + os.path.join(tempfile.gettempdir(), f"kinfold-{os.getuid()}")
+
+
+def is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
 
 
 class Scratch:

@@ -64,31 +64,56 @@ def inline_rows(spark: SparkSession, rows: Sequence[Sequence], schema: Sequence[
     return spark.createDataFrame([tuple(r) for r in rows], ", ".join(f"`{n}` {t}" for n, t in schema))
 
 
-#: Header names under which reviews arrive, the first present one counts.
+#: Header names under which reviews arrive; the first that is filled counts.
 REVIEW_HEADERS = {
-    "event_id": ("event_id", "adjudication_id", "review_id", "id"),
-    "left_record_key": ("left_record_key", "left_key", "source_record_key", "left"),
-    "right_record_key": ("right_record_key", "right_key", "target_record_key", "right"),
-    "decision": ("decision", "outcome", "label", "verdict"),
-    "confidence": ("confidence", "reviewer_confidence", "certainty"),
-    "reviewer_id": ("reviewer_id", "reviewer", "adjudicator_id"),
-    "adjudicated_at": ("adjudicated_at", "reviewed_at", "timestamp"),
-    "protocol_version": ("protocol_version", "protocol"),
-    "superseded_event_id": ("superseded_event_id", "supersedes"),
+    "event_id": ("event_id", "adjudication_event_id", "id"),
+    "left_record_key": ("left_record_key", "source_record_ref", "left_id", "source_ref", "source_key"),
+    "right_record_key": ("right_record_key", "target_record_ref", "right_id", "target_ref", "target_key"),
+    "decision": ("decision", "outcome", "status"),
+    "confidence": ("confidence",),
+    "reviewer_id": ("reviewer_id", "reviewer", "annotator_id"),
+    "adjudicated_at": ("timestamp", "created_at", "adjudicated_at"),
+    "protocol_version": ("protocol_version", "verification_protocol", "protocol", "version"),
+    "superseded_event_id": ("superseded_event_id", "supersedes_event_id", "supersedes_label_id"),
+    "source_digest": ("source_digest", "source_artifact_digest"),
+    "notes": ("notes", "comment", "annotation_notes"),
 }
+#: Lists, as arrays or as text with ``;`` or ``,`` between their elements.
+REVIEW_LISTS = {
+    "entity_component_digests": ("entity_component_digests", "entity_components"),
+    "household_component_digests": ("household_component_digests", "household_components"),
+}
+REQUIRED = ("event_id", "left_record_key", "right_record_key", "decision", "confidence", "reviewer_id", "adjudicated_at", "protocol_version")
+DECISIONS = ("match", "nonmatch", "uncertain", "insufficient_information", "duplicate_review")
 
 
 def import_reviews(df: DataFrame) -> DataFrame:
-    """Reviews under their canonical names; missing columns are null, repeated event ids stop the job."""
+    """Reviews under their canonical names, without blanks around them.
+
+    A row without one of REQUIRED, with another decision than DECISIONS, or a number or time that is
+    none stops the job, and so do repeated event ids.
+    """
     have = {c.lower(): c for c in df.columns}
+    types = dict(df.dtypes)
     picked = []
     for name, aliases in REVIEW_HEADERS.items():
-        found = [F.col(f"`{have[a]}`").cast("string") for a in aliases if a in have]
+        found = [F.nullif(F.trim(F.col(f"`{have[a]}`").cast("string")), F.lit("")) for a in aliases if a in have]
         picked.append((F.coalesce(*found) if found else F.lit(None).cast("string")).alias(name))
+    for name, aliases in REVIEW_LISTS.items():
+        found = []
+        for a in (x for x in aliases if x in have):
+            c = F.col(f"`{have[a]}`")
+            if not types[have[a]].startswith("array"):
+                c = F.split(c.cast("string"), F.when(F.instr(c, ";") > 0, ";").otherwise(","))
+            found.append(F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
+        picked.append((F.coalesce(*found) if found else F.array().cast("array<string>")).alias(name))
     out = df.select(*picked).withColumn("confidence", F.col("confidence").try_cast("double")).withColumn("adjudicated_at", F.col("adjudicated_at").try_cast("timestamp"))
-    out = out.withColumn("decision", F.lower(F.trim("decision")))
-    if not out.groupBy("event_id").count().filter("count > 1 or event_id is null").isEmpty():
-        raise SourceError("SOURCE: event ids are missing or repeat")
+    gaps = [F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED] + [F.when(~F.col("decision").isin(*DECISIONS), F.lit("decision"))]
+    bad = out.select(F.array_join(F.array_distinct(F.array_compact(F.array(*gaps))), ", ").alias("bad")).filter("bad != ''").first()
+    if bad is not None:
+        raise SourceError(f"SOURCE: a review lacks a valid {bad['bad']}")
+    if not out.groupBy("event_id").count().filter("count > 1").isEmpty():
+        raise SourceError("SOURCE: event ids repeat")
     return out
 
 

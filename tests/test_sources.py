@@ -37,11 +37,15 @@ def test_paths(tmp_path):
 def test_inline_and_reviews(spark):
     with pytest.raises(R.SourceError):
         R.inline_rows(spark, [(1, 2)], [("a", "int")])
-    df = spark.createDataFrame([("1", "a", "b", " Match ", "0.9")], "review_id string, left string, right string, verdict string, certainty string")
+    df = spark.createDataFrame([(" 1 ", "a", "b", "match", "0.9", "r7", "2024-01-02T03:04:05Z", "p1", "e1; e2", ["h"])],
+                               "id string, left_id string, target_key string, outcome string, confidence string, annotator_id string, created_at string, protocol string, entity_components string, household_components array<string>")
     r = R.import_reviews(df).first()
-    assert (r["event_id"], r["decision"], r["confidence"], r["protocol_version"]) == ("1", "match", .9, None)
-    with pytest.raises(R.SourceError):
-        R.import_reviews(df.unionByName(df))
+    assert (r["event_id"], r["left_record_key"], r["right_record_key"], r["decision"], r["confidence"], r["reviewer_id"], r["protocol_version"]) == ("1", "a", "b", "match", .9, "r7", "p1")
+    assert r["entity_component_digests"] == ["e1", "e2"] and r["household_component_digests"] == ["h"] and r["superseded_event_id"] is None
+    from pyspark.sql import functions as F
+    for bad in (df.unionByName(df), df.drop("annotator_id"), df.withColumn("outcome", F.lit("maybe")), df.withColumn("confidence", F.lit("high"))):
+        with pytest.raises(R.SourceError):
+            R.import_reviews(bad)
 
 
 def test_sinks(spark, tmp_path):
@@ -50,6 +54,23 @@ def test_sinks(spark, tmp_path):
         W.write_decisions(df, str(tmp_path / "d"), ["source", "private"])
     W.write_review_queue(df, str(tmp_path / "q"), ["source", "reasons"])
     assert json.loads((tmp_path / "q-manifest.json").read_text())["rows"] == 1
+    W.write_links(spark.createDataFrame([("s", "t", "s", "t", .9)], "source string, target string, left_canonical string, right_canonical string, probability double"), str(tmp_path / "links"))
+    assert W.read_report(str(tmp_path / "links-manifest.json"))["rows"] == 1
+    m = W.write_run_manifest(str(tmp_path / "run.json"), "r1", "d1", "link_only", {"queue": df})
+    assert W.read_report(str(tmp_path / "run.json")) == m and m["tables"]["queue"]["rows"] == 1
+    root = str(tmp_path / "registry")
+    assert W.register(root, "run", "a", {"x": 1}) == W.register(root, "run", "a", {"x": 1})
+    with pytest.raises(ValueError, match="another content"):
+        W.register(root, "run", "a", {"x": 2})
+    assert [tuple(r) for r in W.registered(spark, root, "run").select("key", "record").collect()] == [("a", '{"x":1}')]
+    W.save_artifact(str(tmp_path / "m.json"), "fs", "f1", {"m": [.1]})
+    assert W.load_artifact(str(tmp_path / "m.json"), "fs", "f1") == {"m": [.1]}
+    with pytest.raises(ValueError, match="other features"):
+        W.load_artifact(str(tmp_path / "m.json"), "fs", "f2")
+    (tmp_path / "m.json").write_text((tmp_path / "m.json").read_text().replace("0.1", "0.2"))
+    (tmp_path / ".m.json.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError, match="digest"):
+        W.load_artifact(str(tmp_path / "m.json"), "fs", "f1")
     assert W.migrate_manifest({"schema_version": "0.1", "a": 1}) == {"a": 1, "schema_version": "1", "migrated_from": "0.1"}
 
 
