@@ -111,9 +111,9 @@ def test_stream_keeps_the_folded_state(spark, tmp_path):
 
 
 class Settings:
-    def __init__(self, named):
-        self.conf = self
-        self.named = named
+    def __init__(self, named, master="local[4]"):
+        self.conf = self.sparkContext = self
+        self.named, self.master = named, master
 
     def get(self, key, default=None):
         return self.named if key == "spark.checkpoint.dir" and self.named else default
@@ -122,6 +122,10 @@ class Settings:
 def test_shared_folder_is_taken_from_the_session():
     assert shared_folder(Settings("hdfs://cluster/shared/")) == "hdfs://cluster/shared"
     assert shared_folder(Settings(None)).startswith("file://")
+    assert shared_folder(Settings("hdfs://cluster/shared", "yarn")) == "hdfs://cluster/shared"
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,4,6144]", "k8s://https://host"):
+        with pytest.raises(RuntimeError, match="unset"):
+            shared_folder(Settings(None, master))
 
 
 def test_core_stands_without_the_subpackage():
