@@ -108,4 +108,23 @@ QUERIES = {
     "p7_mix": p7_mix, "p7_shares": p7_shares,
     "p8_found": p8_found, "p8_redacted": p8_redacted,
 }
-ORACLE: dict[str, str] = {}
+#: Components as transitive closures, apart from the operators' method; meant for small tables.
+ORACLE: dict[str, str] = {
+    "p2_found": """with recursive n as (select least(left_record_key, right_record_key) as l, greatest(left_record_key, right_record_key) as r, match_probability as p,
+    row_number() over (partition by least(left_record_key, right_record_key), greatest(left_record_key, right_record_key) order by run_no desc, coalesce(match_probability, -1) desc) as rn from comparison_features where left_record_key <> right_record_key),
+  e as materialized (select l as a, r as b, 'e' as kind from n where rn = 1 and p >= 0.8
+    union select left_record_key, right_record_key, 'e' from verified_labels where label = 1
+    union select k, 'E ' || t, 'e' from (select unnest([left_record_key, right_record_key]) as k, entity_components as ts from verified_labels where label = 1), unnest(ts) as u(t)
+    union select k, 'H ' || t, 'h' from (select unnest([left_record_key, right_record_key]) as k, household_components as ts from verified_labels where label = 1), unnest(ts) as u(t)),
+  g as materialized (select 'entity' as g, a, b from e where kind = 'e' union all select 'household', a, b from e),
+  s as materialized (select g, a, b from g union select g, b, a from g),
+  reach as (select g, a, b from s union select r.g, r.a, s.b from reach r join s on s.g = r.g and s.a = r.b),
+  m as (select g, a, min(b) as lo from (select g, a, b from reach union select g, a, a from s) where b not like 'E %' and b not like 'H %' group by 1, 2),
+  k as (select g as group_kind, lo as group_key, a as record_key from m where a not like 'E %' and a not like 'H %')
+select * from k semi join (select group_kind, group_key from k group by 1, 2 having count(*) > 1) z using (group_kind, group_key)""",
+    "p4_found": """with recursive s as materialized (select distinct 'P' || pair_digest as a, t as b from (select pair_digest, unnest(list_transform(coalesce(entity_components, []), lambda x: 'E' || x) || list_transform(coalesce(household_components, []), lambda x: 'H' || x)) as t from verified_labels where pair_digest is not null) where t is not null),
+  y as materialized (select a, b from s union select b, a from s),
+  reach as (select a, b from y union select r.a, y.b from reach r join y on y.a = r.b),
+  m as (select substr(a, 2) as pair_digest, substr(min(b), 2) as unit_digest from reach where a like 'P%' and b like 'P%' group by a)
+select unit_digest, pair_digest from m semi join (select unit_digest from m group by 1 having count(*) > 1) z using (unit_digest)""",
+}

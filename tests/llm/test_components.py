@@ -98,3 +98,13 @@ def test_units_and_splits(spark):
     for name, share in fractions.items():
         assert abs(sum(r["partition_name"] == name for r in out) / 420 - share) < 0.05
     assert {tuple(r) for r in assign_splits(units, fractions, scratch).collect()} == {tuple(r) for r in out}
+
+
+def test_shares_of_a_split(spark):
+    from kinfold.llm.grouping import split_shares
+
+    rows = [("p1", "u1", "train"), ("p2", "u1", "train"), ("p3", "u2", "train"), ("p4", "u3", "dev")]
+    df = spark.createDataFrame(rows, "pair_digest string, unit_digest string, partition_name string")
+    got = {r["partition_name"]: tuple(r)[1:] for r in split_shares(df, {"train": .7, "dev": .2, "test": .1}, spark).collect()}
+    assert got == {"train": (.7, 3, .75, 2, 2, .5), "dev": (.2, 1, .25, 1, 1, .25), "test": (.1, 0, 0.0, 0, 0, 0.0)}
+    assert all(r["pairs"] == 0 for r in split_shares(df.limit(0), {"train": 1.0}, spark).collect())
