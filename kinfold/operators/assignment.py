@@ -6,20 +6,17 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.functions.kernels import hungarian, sparse_assignment
+from kinfold.functions.kernels import sparse_assignment
 from kinfold.functions.normalise import pair_digest
 from kinfold.operators.clustering import utility
 from kinfold.operators.components import connected_components
 from kinfold.session import Scratch
 
 TIE = 1_000_003
-#: Edges of a component up to which its matrix is made; a larger one is solved over its edges alone.
-COMPONENT_EDGES = 20_000
 
 
 def tie_rank(digest: Column) -> Column:
@@ -79,7 +76,8 @@ def _by_component(costed: DataFrame, scratch: Scratch, solve) -> DataFrame:
 def one_to_one(costed: DataFrame, scratch: Scratch, no_match_utility: float = 0.0, source_capacity: int = 1, target_capacity: int = 1, scale: int = 1_000_000) -> DataFrame:
     """(source, target, probability, cost) of greatest total utility; ends stay free where no match is better.
 
-    Capacities above 1 enter an end several times.  Every component is solved exactly, in one task.
+    Capacities above 1 enter an end several times.  Every component is solved exactly, over its edges
+    alone, in one task.
     """
     free = -round(no_match_utility * scale) * TIE
 
@@ -92,24 +90,10 @@ def one_to_one(costed: DataFrame, scratch: Scratch, no_match_utility: float = 0.
         at_t: dict = {}
         for j, t in enumerate(targets):
             at_t.setdefault(t, []).append(j)
-        rows = {}
-        if len(group) > COMPONENT_EDGES:
-            rows = {(r.source, r.target): r for r in group}
-            gains = [(i, j, max(0, free - int(r.cost))) for r in group for i in at_s[r.source] for j in at_t[r.target]]
-            chosen = {(sources[i], targets[j]) for i, j in sparse_assignment(gains)}
-            return [(r.source, r.target, r.probability, r.cost) for r in map(rows.get, sorted(chosen))]
-        gain = np.zeros((len(sources), len(targets)))
-        for r in group:
-            rows[r.source, r.target] = r
-            for i in at_s[r.source]:
-                for j in at_t[r.target]:
-                    gain[i, j] = max(0.0, float(free - r.cost))
-        out = {}
-        for i, j in hungarian(gain):
-            r = rows.get((sources[i], targets[j]))
-            if r is not None:
-                out[r.source, r.target] = (r.source, r.target, r.probability, r.cost)
-        return list(out.values())
+        rows = {(r.source, r.target): r for r in group}
+        gains = [(i, j, max(0, free - int(r.cost))) for r in group for i in at_s[r.source] for j in at_t[r.target]]
+        chosen = {(sources[i], targets[j]) for i, j in sparse_assignment(gains)}
+        return [(r.source, r.target, r.probability, r.cost) for r in map(rows.get, sorted(chosen))]
 
     return _by_component(costed.filter(F.col("cost") < free), scratch, solve)
 

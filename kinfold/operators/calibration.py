@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,22 +79,36 @@ def fit_beta(scored: DataFrame, eps: float = 1e-9) -> tuple[float, float, float]
     return a, b, g
 
 
-def fit_isotonic(scored: DataFrame, cells: int = 65_536) -> list[tuple[float, float]]:
-    """Steps (upper bound, value) of the pooled-adjacent-violators fit.
-
-    Equal scores are merged by Spark; above ``cells`` distinct scores they are first put into so
-    many cells of equal width, which bounds what reaches the driver.
-    """
-    grouped = scored.groupBy("score").agg(F.sum("label").alias("y"), F.count(F.lit(1)).alias("n"))
-    if grouped.count() > cells:
-        grouped = grouped.groupBy(F.floor(F.col("score") * cells).alias("cell")).agg(F.max("score").alias("score"), F.sum("y").alias("y"), F.sum("n").alias("n"))
+def pool(rows) -> list[list[float]]:
+    """Blocks (upper score, sum of labels, number) of rows in order of score, neighbours pooled until rates rise."""
     blocks: list[list[float]] = []
-    for r in sorted(grouped.select("score", "y", "n").collect()):
-        blocks.append([r["score"], float(r["y"]), float(r["n"])])
-        while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
+    for upper, y, n in rows:
+        blocks.append([upper, float(y), float(n)])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
             upper, y, n = blocks.pop()
             blocks[-1] = [upper, blocks[-1][1] + y, blocks[-1][2] + n]
-    return [(b[0], b[1] / b[2]) for b in blocks]
+    return blocks
+
+
+def fit_isotonic(scored: DataFrame) -> list[tuple[float, float]]:
+    """Steps (upper bound, value) of the pooled-adjacent-violators fit, exact at any size.
+
+    Equal scores are merged first.  Ranges of scores are pooled by themselves, in parallel: what is
+    pooled within a range is pooled in the whole fit too, so only the blocks left, far fewer than
+    scores, reach the driver, which pools across ranges.
+    """
+    grouped = scored.groupBy("score").agg(F.sum("label").cast("double").alias("y"), F.count(F.lit(1)).cast("double").alias("n"))
+
+    def within(batches):
+        import pyarrow as pa
+
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in range(3))))
+        blocks = pool(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in blocks], pa.float64()) for i in range(3)], names=["score", "y", "n"])
+
+    parts = grouped.select(F.col("score").cast("double").alias("score"), "y", "n").filter("score is not null").repartitionByRange("score").sortWithinPartitions("score")
+    found = parts.mapInArrow(within, "score double, y double, n double").collect()
+    return [(b[0], b[1] / b[2]) for b in pool(sorted(tuple(r) for r in found))]
 
 
 def isotonic_apply(score: Column, steps: list[tuple[float, float]]) -> Column:
@@ -151,3 +167,40 @@ def select_champion(reports: list[dict], by: str = "average_precision") -> dict:
         raise ValueError("at least two models with one validation contract")
     first = (lambda r: (-r["average_precision"], r["brier"])) if by == "average_precision" else (lambda r: (r["brier"], -r["average_precision"]))
     return min(reports, key=lambda r: (*first(r), r["family"], r["id"], r["version"]))
+
+
+@dataclass(frozen=True)
+class Calibrator:
+    """A fitted map from scores to probabilities; ``name`` is none where nothing could be fitted."""
+
+    name: str = "none"
+    parameters: tuple = ()
+
+    def apply(self, score: Column) -> Column:
+        if self.name == "sigmoid":
+            return sigmoid_apply(score, *self.parameters)
+        if self.name == "beta":
+            return beta_apply(score, *self.parameters)
+        if self.name == "isotonic":
+            return isotonic_apply(score, list(self.parameters))
+        return score
+
+
+def choose_calibrator(calibration: DataFrame, validation: DataFrame, by: str = "brier") -> Calibrator:
+    """The calibrator, fitted on the one, that does best on the other; rows are (score, label).
+
+    Without both labels in the first nothing is fitted; without rows in the second the sigmoid is
+    taken, which has the fewest parameters.
+    """
+    low, high = calibration.agg(F.min("label"), F.max("label")).first()
+    if low is None or low == high:
+        return Calibrator()
+    fitted = [Calibrator("sigmoid", fit_sigmoid(calibration)), Calibrator("beta", fit_beta(calibration)), Calibrator("isotonic", tuple(fit_isotonic(calibration)))]
+    reports = []
+    for c in fitted:
+        r = calibration_errors(validation.select(c.apply(F.col("score")).alias("score"), "label")).first()
+        if r["brier"] is None:
+            return fitted[0]
+        reports.append((c.name, r["brier"], r["ece"]))
+    best = select_calibrator(reports, by)
+    return next(c for c in fitted if c.name == best)

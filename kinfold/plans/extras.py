@@ -84,7 +84,7 @@ def _run(mode: str, constraint: str = "one_to_one"):
     return query
 
 
-def synthetic_linkage(spark, sf_dir, entities: int = 120):
+def synthetic_linkage(spark, sf_dir, entities: int = 120, calibrated: bool = False):
     """Generated tables linked by the pipeline, whatever the folder holds."""
     scratch = Scratch(spark, "synthetic")
     tables, truth = generate(spark, Scenario(entities=entities, left_only=8, right_only=8, duplicates=8, competitors=20, seed=20260816))
@@ -92,8 +92,10 @@ def synthetic_linkage(spark, sf_dir, entities: int = 120):
     for name, table in tables.items():
         scratch.keep(table, name)
         paths[name] = f"{scratch.root}/{name}"
-    result = run_plan(spark, compile_config(_config(paths))).result
     keyed = F.sha2(F.concat("dataset_id", F.lit("\x1f"), "record_key"), 256)
+    known = truth.select(keyed.alias("record_key"), F.col("entity_key").alias("entity"), F.col("household_key").alias("household")) if calibrated else None
+    run = run_plan(spark, compile_config(_config(paths)), truth=known)
+    result = run.result
     side = lambda k, s: truth.select(keyed.alias(k), F.col("entity_key").alias(s))
     return result.join(side("source", "e1"), "source").join(side("assigned_target", "e2"), "assigned_target", "left").select("source", "assigned_target", "status", (F.col("e1") == F.col("e2")).alias("correct"))
 
@@ -173,7 +175,7 @@ def _r(df: DataFrame) -> DataFrame:
 
 QUERIES = {
     "scan_parquet": scan_parquet, "scan_csv": _round_trip("csv"), "scan_tsv": _round_trip("tsv"), "scan_jsonl": _round_trip("jsonl"), "sink_crosswalk": crosswalk_sink,
-    "run_link_only": _run("link_only"), "run_many_to_one": _run("link_only", "many_to_one"), "run_dedupe_only": _run("dedupe_only"), "run_link_and_dedupe": _run("link_and_dedupe"), "run_synthetic": synthetic_linkage, "run_synthetic_500": lambda s, d: synthetic_linkage(s, d, 500),
+    "run_link_only": _run("link_only"), "run_many_to_one": _run("link_only", "many_to_one"), "run_dedupe_only": _run("dedupe_only"), "run_link_and_dedupe": _run("link_and_dedupe"), "run_synthetic": synthetic_linkage, "run_synthetic_500": lambda s, d: synthetic_linkage(s, d, 500), "run_calibrated": lambda s, d: synthetic_linkage(s, d, 120, True),
     "model_gbt": _model("gbt"), "model_forest": _model("forest"), "model_mlp": _model("mlp"), "model_stacking": stacking, "model_folds": grouped_folds, "model_ranker": ranker,
     "advisor_mechanism": mechanism, "advisor_nearest": advisor_nearest, "advisor_pareto": advisor_pareto,
     "advisor_evidence": lambda s, d: _r(V.recipe_evidence(runs(s, d))), "advisor_advice": lambda s, d: _r(V.advise(V.recipe_evidence(runs(s, d)), advisor_nearest(s, d))),

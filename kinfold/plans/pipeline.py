@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from kinfold.functions.normalise import check_identities, prepare
 from kinfold.operators import assignment as A
+from kinfold.operators import calibration as K
 from kinfold.operators import clustering as C
 from kinfold.operators import decisions as D
 from kinfold.operators import fellegi as FS
+from kinfold.operators import metrics as M
 from kinfold.operators.blocking import candidate_pairs, check_bounds, check_budget, random_pairs
 from kinfold.operators.features import anchor_conflicts, anchor_evidence, comparison_features
+from kinfold.operators.splitting import entity_household_split
 from kinfold.plans.config import LinkagePlan
 from kinfold.session import Scratch
 from kinfold.sources.readers import read_source
@@ -29,6 +32,12 @@ class Run:
     scores: DataFrame
     result: DataFrame
     model: dict
+    calibrator: K.Calibrator = K.Calibrator()
+    judged: DataFrame | None = None
+
+    def quality(self, partition: str = "test") -> DataFrame:
+        """Metrics of the calibrated scores on labelled candidates of a partition that nothing was fitted on."""
+        return M.pair_metrics(self.judged.filter(F.col("partition") == partition).select(self.calibrator.apply(F.col("score")).alias("score"), "label"))
 
 
 #: Random pairs, of all pairs, from which chance agreement is estimated: the size of a sample.
@@ -47,8 +56,13 @@ def _model(features: DataFrame, chance: DataFrame, plan: LinkagePlan) -> dict:
     return {"u": u, "m": m, "weights": FS.level_weights(m, u, missing)}
 
 
-def run_plan(spark: SparkSession, plan: LinkagePlan, roots: list[str] | None = None) -> Run:
-    """Prepare, block, compare, estimate, score, then assign and decide, or cluster.
+def run_plan(spark: SparkSession, plan: LinkagePlan, roots: list[str] | None = None, truth: DataFrame | None = None) -> Run:
+    """Prepare, block, compare, estimate, score, calibrate, then assign and decide, or cluster.
+
+    With ``truth(record_key, entity, household)``, keys being those of the prepared tables, records
+    are dealt to the plan's partitions with entities and households kept whole; scores are
+    calibrated on labelled candidates of ``calibration``, the calibrator chosen on ``validation``,
+    and ``test`` is left for ``Run.quality``.
 
     More candidates than the plan's budget stop the run before features are made.
     """
@@ -72,11 +86,17 @@ def run_plan(spark: SparkSession, plan: LinkagePlan, roots: list[str] | None = N
     chance = comparison_features(random_pairs(left, right, U_PAIRS, seed=1, scratch=scratch), left, right, list(plan.comparisons))
     model = _model(features, chance, plan)
     scores = scratch.keep(FS.score(features, model["weights"], plan.prior).select("left_record_key", "right_record_key", "match_weight", "match_probability"), "scores")
-    edges = scores.select(F.col("left_record_key").alias("source"), F.col("right_record_key").alias("target"), F.col("match_probability").alias("probability"))
+    calibrator, judged = K.Calibrator(), None
+    if truth is not None and plan.fractions:
+        parts = scratch.keep(entity_household_split(truth, plan.fractions, 1, scratch), "partitions")
+        pairs = M.labels_within(candidates.select("left_record_key", "right_record_key"), parts, truth.select("record_key", "entity").distinct())
+        judged = scratch.keep(pairs.join(scores, ["left_record_key", "right_record_key"]).select("left_record_key", "right_record_key", "partition", "label", F.col("match_probability").alias("score")), "judged")
+        calibrator = K.choose_calibrator(judged.filter("partition = 'calibration'"), judged.filter("partition = 'validation'"))
+    edges = scratch.keep(scores.select(F.col("left_record_key").alias("source"), F.col("right_record_key").alias("target"), calibrator.apply(F.col("match_probability")).alias("probability")), "edges")
     if dedupe:
         weighted = edges.toDF("u", "v", "weight")
         result = C.dedupe_components(left.select("record_key"), weighted, 0.5, scratch)
-        return Run(prepared, candidates, features, scores, result, model)
+        return Run(prepared, candidates, features, scores, result, model, calibrator, judged)
     costed = A.edge_costs(edges)
     solver = {"one_to_one": A.one_to_one, "many_to_one": A.many_to_one, "one_to_many": A.one_to_many, "unconstrained": A.unconstrained}[plan.constraint]
     if plan.mode == "link_and_dedupe":
@@ -88,14 +108,16 @@ def run_plan(spark: SparkSession, plan: LinkagePlan, roots: list[str] | None = N
             own[name] = C.dedupe_components(table.select("record_key"), weighted, 0.5, Scratch(spark, f"own-{name}")).select("record_key", F.col("canonical_key").alias("cluster_key"))
         first, second = list(own.values())
         result = C.link_and_dedupe(edges, first, second, lambda e: solver(A.edge_costs(e), scratch))
-        return Run(prepared, candidates, features, scores, result, model)
+        return Run(prepared, candidates, features, scores, result, model, calibrator, judged)
     costed = scratch.keep(costed, "costed-edges")
     evidence = D.evidence(left.select(F.col("record_key").alias("source")), costed, solver(costed, scratch))
     if plan.anchors:
         flagged = anchor_conflicts(anchor_evidence(left, right, list(plan.anchors))).select(F.col("left_record_key").alias("source"), F.lit(True).alias("anchor_conflict"))
         evidence = evidence.join(flagged, "source", "left")
+    if judged is not None:
+        evidence = evidence.withColumn("calibration_invalid", F.lit(calibrator.name == "none"))
     for f in D.FLAGS:
         if f not in evidence.columns:
             evidence = evidence.withColumn(f, F.lit(False))
     decided = D.classify(evidence, plan.policy).withColumn("relationship_id", D.relationship_id(plan.digest[:12]))
-    return Run(prepared, candidates, features, scores, decided, model)
+    return Run(prepared, candidates, features, scores, decided, model, calibrator, judged)

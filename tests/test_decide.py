@@ -125,6 +125,30 @@ def test_isotonic(spark):
     assert [r[0] for r in spark.createDataFrame([(.05,), (.25,), (.9,), (None,)], "x double").select(K.isotonic_apply(F.col("x"), steps)).collect()] == [0.0, .5, 1.0, None]
 
 
+def test_isotonic_is_exact_over_ranges(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(x), int(rng.random() < x)) for x in np.round(rng.random(3000), 3)]
+    steps = K.fit_isotonic(spark.createDataFrame(rows, "score double, label int").repartition(7))
+    per = {}
+    for x, y in rows:
+        per.setdefault(x, [0, 0])
+        per[x][0] += y
+        per[x][1] += 1
+    whole = [(b[0], b[1] / b[2]) for b in K.pool((x, *per[x]) for x in sorted(per))]
+    assert steps == whole and [v for _, v in steps] == sorted(v for _, v in steps)
+    assert K.fit_isotonic(spark.createDataFrame([], "score double, label int")) == []
+
+
+def test_calibrator_is_chosen_on_other_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(float(x), int(rng.random() < x ** 3)) for x in rng.random(1500)]
+    a, b = (spark.createDataFrame(part, "score double, label int") for part in (rows[:800], rows[800:]))
+    c = K.choose_calibrator(a, b)
+    fitted = K.calibration_diagnostics(b.select(c.apply(F.col("score")).alias("score"), "label")).first()
+    assert c.name != "none" and fitted["brier"] < K.calibration_errors(b).first()["brier"] and abs(fitted["mean_probability"] - fitted["observed_rate"]) < .05
+    assert K.choose_calibrator(a.filter("label = 1"), b).name == "none" and K.choose_calibrator(a, b.limit(0)).name == "sigmoid"
+
+
 def test_split_keeps_households(spark):
     rows = [(f"r{i}-{s}", f"e{i}", f"h{i // 2}") for i in range(30) for s in "ab"]
     df = spark.createDataFrame(rows, "record_key string, entity string, household string")
@@ -169,14 +193,6 @@ def test_sparse_assignment_is_exact():
             assert sum(gain[x] for x in got) == sum(gain[x] for x in hungarian(gain.astype(float)))
 
 
-def test_large_components_are_solved(spark, monkeypatch):
-    edges = [("s1", "t1", .95), ("s1", "t2", .80), ("s2", "t1", .94), ("s2", "t2", .10), ("s3", "t2", .60)]
-    e = A.edge_costs(spark.createDataFrame(edges, EDGE))
-    whole = pairs(A.one_to_one(e, Scratch(spark, "t")))
-    monkeypatch.setattr(A, "COMPONENT_EDGES", 2)
-    assert pairs(A.one_to_one(e, Scratch(spark, "t"))) == whole == {("s1", "t2"), ("s2", "t1")}
-
-
 def test_long_chains_are_no_cycles(spark):
     votes = [("match", .9, None)] + [("match", .9, f"e{i}") for i in range(70)] + [("match", .9, "e72"), ("match", .9, "e71"), ("match", .9, "e71")]
     assert {r["event_id"] for r in J.supersession_cycles(reviews(spark, votes), Scratch(spark, "t")).collect()} == {"e71", "e72", "e73"}
