@@ -67,7 +67,7 @@ def subset(spark, sf_dir):
 def short_labels_blocked(spark, sf_dir):
     """Equal groups, or labels with the same first three letters; shorter labels block nothing."""
     a, b = (s.withColumn("v_label", F.when(F.length("v_label") >= 3, F.col("v_label"))) for s in sides(spark, sf_dir))
-    return candidate_pairs(a, b, {"group": Exact("group"), "label": Prefix("label", 3)})
+    return candidate_pairs(a, b, {"group": Exact("group"), "label": Prefix("label", 3)}, unique=True)
 
 
 def multi_source(spark, sf_dir):

@@ -135,3 +135,33 @@ def test_budget_is_checked_before_the_join(spark):
         check_bounds(rows, rows, {"g": Exact("g")}, 20)
     days = spark.createDataFrame([("r1", None)], "record_key string, v_d date")
     assert pair_bounds(days, days, {"d": DateWindow("d", 3)}) == (0, 0)
+
+
+def test_pairs_of_unique_keys_are_not_shuffled(spark, monkeypatch):
+    rows = spark.range(240).select(F.col("id").cast("string").alias("record_key"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") * 7 % 60).cast("int")).alias("v_d"),
+                                   F.when(F.col("id") % 11 > 0, F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("g"), (F.col("id") % 5).cast("string")))).alias("v_g"),
+                                   F.concat((F.col("id") % 4).cast("string"), (F.col("id") % 9).cast("string")).alias("v_n"))
+    rules = {"z": B.AnyOf((B.AllOf((B.Exact("g"), B.Prefix("n", 1))), B.DateWindow("d", 2))), "y": B.AllOf((B.Exact("g"), B.DateWindow("d", 9))),
+             "x": B.Prefix("n", 1), "w": B.AllOf((B.Prefix("n", 1), B.Exact("d")))}
+    for other in (rows.filter("record_key % 2 = 0"), None):
+        want = sorted(B.candidate_pairs(rows, other, rules).collect())
+        assert sorted(B.candidate_pairs(rows, other, rules, unique=True).collect()) == want
+        monkeypatch.setattr(B, "PAIRS_PER_TASK", 50)  # so that blocks are cut
+        monkeypatch.setattr(B, "CELL_SIDE", 7)
+        cut = B.candidate_pairs(rows, other, rules, unique=True)
+        assert sorted(cut.collect()) == want and cut.schema.simpleString() == B.candidate_pairs(rows, other, rules).schema.simpleString()
+        monkeypatch.undo()
+    left, right = spark.createDataFrame(BLOCK_L, BLOCK), spark.createDataFrame(BLOCK_R, BLOCK)
+    plan = B.candidate_pairs(left, right, {"r": B.Exact("name"), "s": B.Prefix("location", 5)}, unique=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "Aggregate" not in plan
+    twice = left.unionByName(left)
+    assert B.unique_keys(left) and not B.unique_keys(twice)
+    assert B.candidate_pairs(left.limit(0), right, {"r": B.Exact("name")}, unique=True).collect() == []
+
+
+def test_blocks_of_short_labels_keep_pairs_in_place(spark):
+    from kinfold.plans.checks import short_labels_blocked
+
+    pairs = short_labels_blocked(spark, "/root/testdata/sf0.001")
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan
