@@ -165,3 +165,18 @@ def test_blocks_of_short_labels_keep_pairs_in_place(spark):
     pairs = short_labels_blocked(spark, "/root/testdata/sf0.001")
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set" not in plan
+
+
+def test_numeric_rounding_and_blocks_of_few_keys(spark, monkeypatch):
+    values = [0.0, 0.0000005, 0.0000015, 1.2345675, 109.9989, 3.4e5, 1e300, 1.7e308, math.inf, None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in values], "x double").select(S.round_double(F.col("x"), 6)).collect()]
+    assert got == [0.0, 0.000001, 0.000002, pytest.approx(1.234567, abs=1.1e-6), 109.9989, 3.4e5, pytest.approx(1e300), 1.7e308, math.inf, None]
+    one = spark.range(60).select(F.col("id").alias("l"), F.when(F.col("id") < 50, 1).alias("k"))
+    two = spark.range(40).select((F.col("id") % 30).alias("r"), F.lit(1).alias("k"))
+    want = sorted(one.join(two, "k").select("l", "r").collect())
+    monkeypatch.setattr(B, "PAIRS_PER_TASK", 50)
+    monkeypatch.setattr(B, "CELL_SIDE", 7)
+    met = B.block_join(one, two, ["k"])
+    assert sorted(met.select("l", "r").collect()) == want and len(want) == 2000
+    sizes = met.select("l", "r").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < 1000  # one key, several tasks
