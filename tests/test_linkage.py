@@ -180,3 +180,33 @@ def test_numeric_rounding_and_blocks_of_few_keys(spark, monkeypatch):
     assert sorted(met.select("l", "r").collect()) == want and len(want) == 2000
     sizes = met.select("l", "r").groupBy(F.spark_partition_id()).count().collect()
     assert max(r["count"] for r in sizes) < 1000  # one key, several tasks
+
+
+def test_assignment_of_one_large_component_is_light():
+    import itertools
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from kinfold.operators.assignment import assign_edges
+
+    def table(rows):
+        return pa.Table.from_pydict({"source": [r[0] for r in rows], "target": [r[1] for r in rows], "probability": [0.9] * len(rows), "cost": [r[2] for r in rows]},
+                                    pa.schema([("source", pa.string()), ("target", pa.string()), ("probability", pa.float64()), ("cost", pa.int64())]))
+
+    rng = np.random.default_rng(3)
+    rows = [(f"s{i}", f"t{j}", -int(rng.integers(1, 100))) for i in range(4) for j in range(4) if (i + j) % 3]
+    cost = {(a, b): c for a, b, c in rows}
+    best = min(sum(cost.get((f"s{i}", f"t{j}"), 0) for i, j in enumerate(p)) for p in itertools.permutations(range(4)))
+    got = assign_edges(table(rows), 0, 1, 1).to_pylist()
+    assert sum(r["cost"] for r in got) == best and len({r["source"] for r in got}) == len({r["target"] for r in got}) == len(got)
+    two = assign_edges(table(rows), 0, 1, 2).to_pylist()
+    assert len({r["source"] for r in two}) == len(two) == 4
+    assert assign_edges(table([]), 0, 1, 1).num_rows == 0
+    many = table([(f"{i:064d}", f"{(i + k) % 3000:064d}", -1_000_000 + 1000 * k) for i in range(3000) for k in range(20)])
+    tracemalloc.start()
+    assert assign_edges(many, 0, 1, 1).num_rows == 3000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 * many.num_rows
