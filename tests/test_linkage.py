@@ -210,3 +210,38 @@ def test_assignment_of_one_large_component_is_light():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 500 * many.num_rows
+
+
+def test_jaro_winkler_of_a_batch_equals_that_of_each_pair():
+    import random
+
+    import pyarrow as pa
+
+    draw = random.Random(5)
+    text = lambda: "".join(draw.choice("abcdé ü") for _ in range(draw.choice([0, 1, 2, 3, 7, 20, 31, 33, 63, 64, 65, 90])))
+    left = [None if draw.random() < .05 else text() for _ in range(6000)]
+    right = [None if draw.random() < .05 else text() if x is None or draw.random() < .4 else "".join(c if draw.random() > .15 else draw.choice(["", c + c, "a"]) for c in x) for x in left]
+    got = S.jaro_winkler_arrow(pa.array(["x", *left]).slice(1), pa.array(["y", *right]).slice(1)).to_pylist()
+    assert got == [None if a is None or b is None else S.jaro_winkler_bytes(a.encode(), b.encode()) for a, b in zip(left, right)]
+
+
+def test_blocks_with_a_window_are_bounded_by_near_days(spark):
+    from kinfold.operators.blocking import AllOf, DateWindow, Exact, candidate_pairs, pair_bounds
+
+    rows = spark.range(400).selectExpr("cast(id as string) as record_key", "'g' as v_g", "date_add(date'2000-01-01', cast(id * 10 as int)) as v_d")
+    rules = {"r": AllOf((Exact("g"), DateWindow("d", 3)))}
+    least, most = pair_bounds(rows, rows, rules)
+    assert least == 0 and candidate_pairs(rows, rows, rules).count() == 400 <= most < 400 * 3
+    assert candidate_pairs(rows, None, {"r": AllOf((Exact("g"), DateWindow("d", 10)))}).count() == 399 <= pair_bounds(rows, None, {"r": AllOf((Exact("g"), DateWindow("d", 10)))})[1] < 399 * 3
+
+
+def test_pairs_that_carry_values_have_the_same_features(spark):
+    from kinfold.operators.blocking import Exact, candidate_pairs, matches
+
+    rows = spark.createDataFrame([("1", "a", "x"), ("2", "a", None), ("3", None, "y"), ("4", "b", "y")], "record_key string, v_g string, v_n string")
+    comparison = [X.Comparison("n", "n", "exact", (("missing",), ("exact",), ("else",)))]
+    plain = X.comparison_features(candidate_pairs(rows, rows, {"r": Exact("g")}, unique=True), rows, rows, comparison)
+    carried = X.comparison_features(candidate_pairs(rows, rows, {"r": Exact("g")}, unique=True, carry=("n",)), rows, rows, comparison, keep=("retrieval_rule_ids",))
+    assert sorted(plain.collect()) == sorted(carried.drop("retrieval_rule_ids").collect()) and carried.count() == 5
+    pairs = spark.createDataFrame([("a", "a"), ("a", "b"), (None, "a")], "l_g string, r_g string")
+    assert [r[0] for r in pairs.select(matches(Exact("g"))).collect()] == [True, False, False]
