@@ -145,3 +145,27 @@ def test_dates_of_every_form_reach_the_run(spark):
     day = compile_config(_config({"a": "/x", "b": "/y"})).variables["day"]
     out = prepare(rows, "a", "record_key", {"day": ("date_value", day)}, strict=True)
     assert out.filter("v_day = date'1982-06-20'").count() == 4 and out.filter("m_day").count() == 4
+
+
+def test_link_only_learns_from_judged_matches(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from kinfold.functions.normalise import surrogate_key
+    from kinfold.plans import extras
+    from kinfold.plans.pipeline import judged_candidates
+
+    record = "record_key string, label_value string, date_value string, group_value string, load_id int, updated_at timestamp"
+    for name, rows in (("source_a", [(f"a{i}", f"name {i}", "2000-01-01", "g", 1, None) for i in range(6)]), ("source_b", [(f"b{i}", f"name {i}", "2000-01-01", "g", 1, None) for i in range(6)])):
+        spark.createDataFrame(rows, record).write.parquet(f"{tmp_path}/{name}.parquet")
+    judged = [("a0", "b0", 1, ["e0"], ["h"]), ("b1", "a1", 1, ["e1"], ["h"]), ("a1", "b2", 1, ["e1"], None), ("a3", "b3", 1, ["e3"], None), ("a4", "b4", 0, ["e4", "e5"], None)]
+    spark.createDataFrame(judged, "left_record_key string, right_record_key string, label int, entity_components array<string>, household_components array<string>").write.parquet(f"{tmp_path}/verified_labels.parquet")
+    seen = {}
+    monkeypatch.setattr(extras, "run_plan", lambda spark, plan, matched=None: seen.update(plan=plan, matched=matched) or type("Run", (), {"result": None}))
+    extras.QUERIES["run_link_only"](spark, str(tmp_path))
+    tables = [prepare(spark.read.parquet(d.path), d.id, d.identity, {v: (c, seen["plan"].variables[v]) for v, c in d.columns}) for d in seen["plan"].datasets]
+    names = {k: n for d, t in (("source_a", "a"), ("source_b", "b")) for n, k in spark.createDataFrame([(f"{t}{i}",) for i in range(6)], "n string").select("n", surrogate_key(d, F.col("n"))).collect()}
+    rows = judged_candidates(seen["matched"], *tables, seen["plan"], Scratch(spark, "t")).collect()
+    found = {(names[r["left_record_key"]], names[r["right_record_key"]]): (r["partition"], r["label"]) for r in rows}
+    assert {k: v[1] for k, v in found.items() if {*k} <= {"a0", "a1", "b0", "b1", "b2"}} == {("a0", "b0"): 1.0, ("a0", "b1"): 0.0, ("a0", "b2"): 0.0, ("a1", "b0"): 0.0, ("a1", "b1"): 1.0, ("a1", "b2"): 1.0}
+    assert found["a3", "b3"][1] == 1.0 and len({v[0] for k, v in found.items() if {*k} <= {"a0", "a1", "b0", "b1", "b2"}}) == 1
+    assert not any("a4" in k or "b4" in k for k in found) and "label_value" in rows[0].asDict()
